@@ -1,0 +1,15 @@
+"""Plans that need no stored mart: whole-table versions on given frames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..operators import joins as J, labels as L, ledger as Lg, splits as Sp
+
+
+def labels_from_ledger(ledger: DataFrame) -> DataFrame:
+    return L.default_labels(Lg.with_days_past_due(ledger))
+
+
+def labelled_split(features: DataFrame, labels: DataFrame, as_of: str, keys) -> DataFrame:
+    return Sp.assign_splits(J.labelled_features(features, labels), as_of, keys)
