@@ -62,7 +62,8 @@ def clean_clickstream(raw: DataFrame) -> DataFrame:
 
 def clean_financials(raw: DataFrame) -> DataFrame:
     df = map_columns(lower_columns(raw), S.FINANCIAL_UNDERSCORE_COLUMNS, X.strip_to_null)
-    df = map_columns(df, df.columns, X.blank_to_null)
+    texts = [name for name, kind in df.dtypes if kind == "string"]
+    df = map_columns(df, texts, X.blank_to_null)
     df = map_columns(
         df,
         ["payment_behaviour"],

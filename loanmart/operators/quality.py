@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import is_first_of_month
+from .order_stats import exact_quantiles
 
 
 def null_audit(df: DataFrame, columns=None) -> DataFrame:
@@ -74,3 +75,37 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows in the order of a seeded hash: repeatable on any partitioning."""
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
     return df.orderBy(order, F.col(key)).limit(n)
+
+
+def profile(df: DataFrame, columns) -> DataFrame:
+    """(column, n, mean, stddev, min, q25, q50, q75, max) with exact quartiles."""
+    columns = list(columns)
+    stats = df.agg(
+        *[
+            fn(F.col(c)).alias(f"{name}_{c}")
+            for c in columns
+            for name, fn in (("n", F.count), ("mean", F.avg), ("stddev", F.stddev_samp), ("min", F.min), ("max", F.max))
+        ]
+    ).first()
+    counts = {c: stats[f"n_{c}"] for c in columns}
+    quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns}, counts)
+
+    def number(v):
+        return None if v is None else float(v)
+
+    rows = [
+        (
+            c,
+            counts[c],
+            number(stats[f"mean_{c}"]),
+            number(stats[f"stddev_{c}"]),
+            number(stats[f"min_{c}"]),
+            *[quartiles[c][p] for p in (0.25, 0.5, 0.75)],
+            number(stats[f"max_{c}"]),
+        )
+        for c in columns
+    ]
+    return df.sparkSession.createDataFrame(
+        rows,
+        "column string, n bigint, mean double, stddev double, min double, q25 double, q50 double, q75 double, max double",
+    )

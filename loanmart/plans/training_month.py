@@ -61,16 +61,17 @@ def train(
     run_date: str,
     kind: str,
     draws: int = M.SEARCH_DRAWS,
+    folds: int = M.SEARCH_FOLDS,
     space: dict | None = None,
     parallelism: int = 4,
 ) -> Trained:
     """Search, save the winner, evaluate it and add its register row."""
     encoded = spark.read.parquet(mart.encoded("view", run_date))
     columns = load_encoders(spark, mart, run_date).feature_columns(encoded)
-    training, sizes = M.prepare_training(Sp.train_and_valid(encoded), columns, SPLIT_KEYS)
+    training, sizes = M.prepare_training(Sp.train_and_valid(encoded), columns, SPLIT_KEYS, folds)
     training.persist()
     try:
-        search = M.random_search(kind, training, sizes, draws=draws, space=space, parallelism=parallelism)
+        search = M.random_search(kind, training, sizes, draws, folds, space, parallelism)
     finally:
         training.unpersist()
     search.model.write().overwrite().save(mart.model(kind, run_date))
