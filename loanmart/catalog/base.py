@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -24,31 +25,31 @@ SPLIT_KEYS = ("loan_id", "customer_id", "loan_start_date")
 class Marts(Tables):
     """The fixtures plus the marts built from them by the library."""
 
-    @property
+    @cached_property
     def att(self) -> DataFrame:
         return C.dedup(C.clean_attributes(self.fx_att))
 
-    @property
+    @cached_property
     def fin(self) -> DataFrame:
         return C.dedup(C.clean_financials(self.fx_fin))
 
-    @property
+    @cached_property
     def ledger(self) -> DataFrame:
         return Lg.with_days_past_due(C.dedup(self.fx_lms))
 
-    @property
+    @cached_property
     def gold_labels(self) -> DataFrame:
         return L.default_labels(self.ledger)
 
-    @property
+    @cached_property
     def features(self) -> DataFrame:
         return Fe.build_features(self.att, self.fin)
 
-    @property
+    @cached_property
     def labelled(self) -> DataFrame:
         return J.labelled_features(self.features, self.gold_labels)
 
-    @property
+    @cached_property
     def split_view(self) -> DataFrame:
         """Labelled rows with their split; the joined rows are written once, the split is a projection."""
         return Sp.assign_splits(self.stored(self.labelled), OOT_DATE, SPLIT_KEYS)

@@ -92,10 +92,14 @@ class Tables:
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
+        # called for names not yet set: each frame is built once per instance
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        if name in FIXTURES:
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        elif name in FIXTURES:
             text = FIXTURES[name]
             inputs = [n for n in (*BASE_TABLES, *FIXTURES) if "{" + n + "}" in text]
-            return self.spark.sql(text, **{n: getattr(self, n) for n in inputs})
-        raise AttributeError(name)
+            df = self.spark.sql(text, **{n: getattr(self, n) for n in inputs})
+        else:
+            raise AttributeError(name)
+        setattr(self, name, df)
+        return df

@@ -1,7 +1,6 @@
 """Raw text rows -> typed, validated rows.
 
-Each table is cleaned in two projections that Catalyst collapses into one
-codegen stage; the only shuffle is the full-row dedup, which combines copies on
+Each table is cleaned in one projection inside codegen; the only shuffle is the full-row dedup, which combines copies on
 the map side first, so a group of copies of any size shrinks to one row per task.
 """
 
@@ -17,12 +16,6 @@ def lower_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[name.lower() for name in df.columns])
 
 
-def cast_columns(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Project onto ``types`` (name -> type); columns the frame lacks are left out."""
-    have = set(df.columns)
-    return df.select(*[N.to_type(F.col(c), kind).alias(c) for c, kind in types.items() if c in have])
-
-
 def map_columns(df: DataFrame, columns, fn) -> DataFrame:
     """Apply ``fn`` to the named columns in one projection, keeping order."""
     chosen = {c for c in columns if c in df.columns}
@@ -46,34 +39,63 @@ def restore_nulls(df: DataFrame, columns) -> DataFrame:
     return map_columns(df, columns, N.nan_to_null)
 
 
+def clean_columns(raw: DataFrame, types: dict[str, str], on_text=None, on_value=None) -> DataFrame:
+    """text rules -> cast -> value rules for every column, as one projection.
+
+    ``on_text`` and ``on_value`` map a column name to functions applied in turn
+    before and after the cast.
+    """
+    df = lower_columns(raw)
+    have = set(df.columns)
+    out = []
+    for name, kind in types.items():
+        if name not in have:
+            continue
+        c = F.col(name)
+        for rule in (on_text or {}).get(name, ()):
+            c = rule(c)
+        c = N.to_type(c, kind)
+        for rule in (on_value or {}).get(name, ()):
+            c = rule(c)
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
+_ATTRIBUTE_TEXT = {
+    "name": (X.strip_to_null, lambda c: X.remove_pattern(c, S.QUOTE_RUN_PATTERN)),
+    "age": (X.strip_to_null,),
+    "ssn": (lambda c: X.keep_matching(c, S.SSN_PATTERN), X.fill_unknown),
+    "occupation": (X.strip_to_null, X.fill_unknown),
+}
+_ATTRIBUTE_VALUE = {"age": (lambda c: N.null_outside(c, *S.AGE_RANGE),)}
+
+
 def clean_attributes(raw: DataFrame) -> DataFrame:
-    df = map_columns(lower_columns(raw), S.ATTRIBUTE_UNDERSCORE_COLUMNS, X.strip_to_null)
-    df = cast_columns(df, S.ATTRIBUTES)
-    df = map_columns(df, ["age"], lambda c: N.null_outside(c, *S.AGE_RANGE))
-    df = map_columns(df, ["name"], lambda c: X.remove_pattern(X.blank_to_null(c), S.QUOTE_RUN_PATTERN))
-    df = map_columns(df, ["occupation"], X.blank_to_null)
-    df = map_columns(df, ["ssn"], lambda c: X.keep_matching(c, S.SSN_PATTERN))
-    return map_columns(df, S.ATTRIBUTE_UNKNOWN_COLUMNS, X.fill_unknown)
+    return clean_columns(raw, S.ATTRIBUTES, _ATTRIBUTE_TEXT, _ATTRIBUTE_VALUE)
 
 
 def clean_clickstream(raw: DataFrame) -> DataFrame:
-    return cast_columns(lower_columns(raw), S.CLICKSTREAM)
+    return clean_columns(raw, S.CLICKSTREAM)
+
+
+def _financial_text(name: str):
+    if name == "payment_behaviour":
+        # shorter than the minimum covers the empty string
+        yield lambda c: X.null_if_shorter(c, S.PAYMENT_BEHAVIOUR_MIN_LENGTH)
+    else:
+        yield X.strip_to_null if name in S.FINANCIAL_UNDERSCORE_COLUMNS else X.blank_to_null
+    if name in S.FINANCIAL_UNKNOWN_COLUMNS:
+        yield X.fill_unknown
+
+
+_FINANCIAL_TEXT = {name: tuple(_financial_text(name)) for name, kind in S.FINANCIALS.items() if kind != "date"}
+_FINANCIAL_VALUE = {name: (N.null_if_negative,) for name in S.FINANCIAL_NONNEGATIVE_COLUMNS}
 
 
 def clean_financials(raw: DataFrame) -> DataFrame:
-    df = map_columns(lower_columns(raw), S.FINANCIAL_UNDERSCORE_COLUMNS, X.strip_to_null)
-    texts = [name for name, kind in df.dtypes if kind == "string"]
-    df = map_columns(df, texts, X.blank_to_null)
-    df = map_columns(
-        df,
-        ["payment_behaviour"],
-        lambda c: X.null_if_shorter(c, S.PAYMENT_BEHAVIOUR_MIN_LENGTH),
-    )
-    df = cast_columns(df, S.FINANCIALS)
-    df = map_columns(df, S.FINANCIAL_NONNEGATIVE_COLUMNS, N.null_if_negative)
-    return map_columns(df, S.FINANCIAL_UNKNOWN_COLUMNS, X.fill_unknown)
+    return clean_columns(raw, S.FINANCIALS, _FINANCIAL_TEXT, _FINANCIAL_VALUE)
 
 
 def clean_ledger(raw: DataFrame) -> DataFrame:
     """Typed ledger rows; the derived columns are added by ``ledger.with_days_past_due``."""
-    return cast_columns(dedup(lower_columns(raw)), S.LEDGER)
+    return clean_columns(dedup(raw), S.LEDGER)

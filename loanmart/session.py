@@ -36,6 +36,7 @@ def local_session(cores: int | str = 8, app: str = "loanmart") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.parquet.compression.codec", "snappy")
         .getOrCreate()
     )
