@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas as S
 from ..operators import cleaning as C, features as Fe, labels as L, ledger as Lg
+from ..schemas import raw_struct
 from ..sources import raw, snapshots as Sn
 from .mart import RAW_TABLES, Mart
 
@@ -17,14 +18,36 @@ CLEANERS = {
 }
 
 
+def raw_schema(table: str) -> T.StructType:
+    """Stored raw rows: text, with the month as a date."""
+    fields = [f for f in raw_struct(RAW_TABLES[table]) if f.name != Sn.PARTITION]
+    return T.StructType([*fields, T.StructField(Sn.PARTITION, T.DateType())])
+
+
+def _schema_of(plan: DataFrame) -> T.StructType:
+    """Schema of a written plan: the month moves to the end as the partition column."""
+    return plan.select(*[c for c in plan.columns if c != Sn.PARTITION], Sn.PARTITION).schema
+
+
+def clean_schema(spark: SparkSession, table: str) -> T.StructType:
+    return _schema_of(CLEANERS[table](spark.createDataFrame([], raw_schema(table))))
+
+
+def feature_schema(spark: SparkSession) -> T.StructType:
+    empty = {t: spark.createDataFrame([], clean_schema(spark, t)) for t in ("attributes", "financials")}
+    return _schema_of(Fe.build_features(empty["attributes"], empty["financials"]))
+
+
+def label_schema(spark: SparkSession) -> T.StructType:
+    return _schema_of(L.default_labels(spark.createDataFrame([], clean_schema(spark, "ledger"))))
+
+
 def ingest(spark: SparkSession, mart: Mart, files: dict[str, str], month: str | None = None) -> None:
-    """Store raw rows by month as text; one month of a backfill or all of them."""
+    """Store raw rows by month as text; one month or a backfill of all of them."""
     for table, path in files.items():
         df = raw.read_csv_text(spark, path, RAW_TABLES[table])
-        df = df.withColumn("snapshot_date", F.col("snapshot_date").try_cast("date"))
-        if month is not None:
-            df = Sn.slice_month(df, month)
-        Sn.write_snapshots(df, mart.raw_snapshots(table))
+        df = df.withColumn(Sn.PARTITION, F.col(Sn.PARTITION).try_cast("date"))
+        Sn.write_snapshots(df, mart.raw_snapshots(table), month)
 
 
 def clean(spark: SparkSession, mart: Mart, month: str | None = None) -> None:
@@ -34,32 +57,31 @@ def clean(spark: SparkSession, mart: Mart, month: str | None = None) -> None:
     them from the cumulative table and earlier months are never read again.
     """
     for table, cleaner in CLEANERS.items():
-        df = Sn.read_snapshots(spark, mart.raw_snapshots(table))
+        df = Sn.read_snapshots(spark, mart.raw_snapshots(table), raw_schema(table))
         if month is not None:
             df = Sn.slice_month(df, month)
-        Sn.write_snapshots(cleaner(df), mart.clean(table))
+        Sn.write_snapshots(cleaner(df), mart.clean(table), month)
 
 
 def cleaned(spark: SparkSession, mart: Mart, table: str, as_of: str) -> DataFrame:
     """All cleaned rows of a table up to a month."""
-    return Sn.up_to(spark.read.parquet(mart.clean(table)), as_of)
+    return Sn.up_to(Sn.read_snapshots(spark, mart.clean(table), clean_schema(spark, table)), as_of)
 
 
 def build_gold(spark: SparkSession, mart: Mart, month: str | None = None, as_of: str | None = None) -> None:
     """Labels and features of one month, or of every month up to ``as_of``."""
-    pick = (lambda df: Sn.slice_month(df, month)) if month else (lambda df: Sn.up_to(df, as_of))
-    labels = L.default_labels(pick(spark.read.parquet(mart.clean("ledger"))))
-    Sn.write_snapshots(labels, mart.labels)
-    features = Fe.build_features(
-        pick(spark.read.parquet(mart.clean("attributes"))),
-        pick(spark.read.parquet(mart.clean("financials"))),
-    )
-    Sn.write_snapshots(features, mart.features)
+
+    def rows(table: str) -> DataFrame:
+        df = cleaned(spark, mart, table, month or as_of)
+        return Sn.slice_month(df, month) if month else df
+
+    Sn.write_snapshots(L.default_labels(rows("ledger")), mart.labels, month)
+    features = Fe.build_features(rows("attributes"), rows("financials"))
+    Sn.write_snapshots(features, mart.features, month)
 
 
 def gold(spark: SparkSession, mart: Mart, as_of: str) -> tuple[DataFrame, DataFrame]:
     """(features, labels) up to a month."""
-    return (
-        Sn.up_to(spark.read.parquet(mart.features), as_of),
-        Sn.up_to(spark.read.parquet(mart.labels), as_of).select(*S.LABEL_COLUMNS),
-    )
+    features = Sn.read_snapshots(spark, mart.features, feature_schema(spark))
+    labels = Sn.read_snapshots(spark, mart.labels, label_schema(spark))
+    return Sn.up_to(features, as_of), Sn.up_to(labels, as_of).select(*S.LABEL_COLUMNS)

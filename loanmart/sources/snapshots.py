@@ -14,9 +14,17 @@ from pyspark.sql.types import StructType
 PARTITION = "snapshot_date"
 
 
-def write_snapshots(df: DataFrame, path: str, partition: str = PARTITION) -> None:
-    """Replace the months present in ``df``; all others stay."""
-    _partitioned(df, partition).parquet(path)
+def write_snapshots(df: DataFrame, path: str, month: str | None = None, partition: str = PARTITION) -> None:
+    """Replace the months present in ``df``; all others stay.
+
+    With ``month`` only that month's rows are written and its folder is replaced
+    as a whole, so a repeated run that finds no rows leaves none behind.
+    """
+    if month is None:
+        _partitioned(df, partition).parquet(path)
+    else:
+        rows = slice_month(df, month, partition).drop(partition)
+        rows.hint("rebalance").write.mode("overwrite").parquet(f"{path}/{partition}={month}")
 
 
 def write_snapshots_csv(df: DataFrame, path: str, partition: str = PARTITION) -> None:
