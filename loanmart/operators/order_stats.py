@@ -99,10 +99,21 @@ def _narrow(df, targets, intervals, found, accuracy) -> list[_Interval]:
         for r in w.ranks:
             at = (r - w.first) / max(w.size - 1, 1)
             near.update((max(at - slack, 0.0), min(at + slack, 1.0)))
-        sketches.append(
-            F.percentile_approx(w.values(targets[w.name][0]), sorted(near), accuracy).alias(f"w{i}")
-        )
-    proposals = [sorted(set(values)) for values in df.agg(*sketches).first()]
+        inside = w.values(targets[w.name][0])
+        sketches += [
+            F.percentile_approx(inside, sorted(near), accuracy).alias(f"w{i}"),
+            F.min(inside).alias(f"min{i}"),
+            F.max(inside).alias(f"max{i}"),
+        ]
+    sketched = df.agg(*sketches).first()
+    proposals = []
+    for i in range(len(intervals)):
+        low, high = sketched[f"min{i}"], sketched[f"max{i}"]
+        proposed = {low, high, *sketched[f"w{i}"]}
+        if isinstance(low, int):
+            # the sketch works on doubles, too coarse for wide integers: halving always ends
+            proposed.add((low + high) // 2)
+        proposals.append(sorted(proposed))
     counted = df.agg(
         *[
             count.alias(f"w{i}_{j}_{side}")
