@@ -23,7 +23,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 # an interval of at most this many rows is sorted in one task
-DIRECT_ROWS = 50_000
+DIRECT_ROWS = 400_000
+# and all intervals one job reads off hold at most this many together
+GATHERED_ROWS = 2_000_000
 SKETCH_ACCURACY = 5_000
 
 
@@ -68,12 +70,24 @@ def order_statistics(
     while pending:
         small = [w for w in pending if w.size <= direct_rows]
         large = [w for w in pending if w.size > direct_rows]
-        if small:
-            _read_off(df, targets, small, found)
+        for batch in _batches(small):
+            _read_off(df, targets, batch, found)
         pending = _narrow(df, targets, large, found, accuracy) if large else []
     return found
 
 
+def _batches(intervals: list[_Interval]) -> list[list[_Interval]]:
+    out: list[list[_Interval]] = []
+    held = GATHERED_ROWS
+    for w in intervals:
+        if held + w.size > GATHERED_ROWS:
+            out.append([])
+            held = 0
+        out[-1].append(w)
+        held += w.size
+    return out
+
+
 def _read_off(df, targets, intervals, found) -> None:
     lists = df.agg(
         *[
