@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .. import schemas as S
+from .. import schemas as S, scratch
 from ..fixtures import BASE_TABLES, FIXTURES, Tables
 from ..operators import cleaning as C, features as Fe, joins as J, labels as L, ledger as Lg, splits as Sp
-from ..session import scratch_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,12 +54,10 @@ class Marts(Tables):
 
     def stored(self, df: DataFrame) -> DataFrame:
         """Write a frame that several jobs read; lost executors then cost no rework."""
-        path = f"{scratch_root(self.spark)}/tables/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.parquet(path)
+        return scratch.stored(df)
 
     def scratch(self) -> str:
-        return f"{scratch_root(self.spark)}/files/{uuid.uuid4().hex}"
+        return scratch.new_path(self.spark, "files")
 
 
 def present(df: DataFrame) -> DataFrame:

@@ -6,9 +6,6 @@ settings we recommend on a cluster and the ones tests and the bench use locally.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # AQE picks the post-shuffle partition count from real sizes, splits skewed
@@ -40,22 +37,3 @@ def local_session(cores: int | str = 8, app: str = "loanmart") -> SparkSession:
         .config("spark.sql.parquet.compression.codec", "snappy")
         .getOrCreate()
     )
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """Folder for written intermediate tables.
-
-    The cluster names a shared folder in ``spark.checkpoint.dir``.  Only where it
-    is unset (tests on one machine) a temporary folder of our own is used.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = os.environ.get("LOANMART_SCRATCH") or tempfile.mkdtemp(prefix="loanmart-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from loanmart import scratch  # noqa: E402
 from loanmart.session import local_session  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -15,6 +16,7 @@ def spark():
     session = local_session()
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    scratch.clear(session)
     session.stop()
 
 

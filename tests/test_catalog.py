@@ -4,10 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from loanmart.catalog import ORACLES, QUERIES
 from loanmart.fixtures import BASE_TABLES, FIXTURES, Tables
 from tools.check_queries import compare, plain, sort_key
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # fits of whole models run in test_models and test_mart
 SLOW = ("ml1_", "ml2_", "ml3_", "ml4_", "ml6_", "ml7_")
 
