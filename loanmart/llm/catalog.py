@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing
+from . import mixing, sharding, warc
 from .common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,28 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Mix documents to weights 1, 2, 3 going round the sources, each at most three times."""
     docs = table(spark, folder, "documents")
     return mixing.mix_report(docs, word_count(F.col("text")))
+
+
+@query()
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Put documents into 16 shards of near equal bytes."""
+    placed = sharding.shard_report(table(spark, folder, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query(
+    """
+with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+k as (select payload_digest, max(page_id) as keeper, count(*) as n from p where payload_bytes >= 1000 group by 1)
+select page_id, payload_bytes, p.payload_digest,
+  case when n > 1 and page_id <> keeper then 'revisit' else 'response' end as record_type,
+  case when n > 1 and page_id <> keeper then keeper end as refers_to
+from p left join k on p.payload_digest = k.payload_digest
+"""
+)
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Write all pages into WARC archives and read the archives back."""
+    records = warc.read_warc(warc.write_warc(table(spark, folder, "pages")), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
