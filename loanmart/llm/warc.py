@@ -34,6 +34,7 @@ DATE = "2024-01-01T00:00:00Z"
 MIN_REVISIT_BYTES = 1000
 FILE_BYTES = 256 << 20
 SPLIT_BYTES = 8 << 20
+MAX_TASKS = 20_000
 MAGIC = b"\x1f\x8b\x08"
 _END = b"\r\n\r\n"
 _MORE = 1 << 20
@@ -202,7 +203,9 @@ def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: boo
     """All records of the archives a manifest lists."""
     starts = F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(split_bytes).cast("long")))
     splits = manifest.where("length > 0").select("path", "length", starts.alias("start"))
-    splits = splits.repartition(F.col("path"), F.col("start"))
+    # a split is a few bytes here and some MB to read: a number given by hand is not coalesced
+    n = splits.count()
+    splits = splits.repartition(max(1, min(n, MAX_TASKS)), F.col("path"), F.col("start"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in RECORD.split(", ")]
