@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, mixing, sharding, warc
+from . import chat, decontaminate, mixing, near_dup, sharding, warc
 from .common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,9 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """All pairs of a document and a benchmark item it contains."""
     found = decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.drop("text_hash")
+
+
+@query()
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate groups of all documents: the class of each, and whether it is the one kept."""
+    return near_dup.near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id", "kept")
