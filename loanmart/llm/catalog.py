@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, mixing, near_dup, sharding, warc
+from . import chat, decontaminate, mixing, near_dup, sharding, url_filter, warc
 from .common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,19 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of all documents: the class of each, and whether it is the one kept."""
     return near_dup.near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id", "kept")
+
+
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+@query()
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Judge the urls of all pages: by rule where one fits, else by the model."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
