@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, mixing, near_dup, sharding, url_filter, warc
+from . import chat, decontaminate, mixing, near_dup, sharding, toxicity, url_filter, warc
 from .common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,13 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Judge the urls of all pages: by rule where one fits, else by the model."""
     pages = table(spark, folder, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query()
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Score all documents, with labels learned only from rows that are not held out."""
+    docs = table(spark, folder, "documents")
+    apart = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.fit(docs, table(spark, folder, "labels"), ~apart)
+    scores = toxicity.scored(docs, model, "doc_id")
+    return scores.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))

@@ -16,6 +16,8 @@ PIECE_BYTES = 2 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_NO_WORD = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -37,16 +39,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hasher:
-    """Word hashes of a byte array; keeps its tables between calls."""
+    """Word hashes of a byte array; keeps its tables between calls.
 
-    def __init__(self) -> None:
+    With ``plain`` words are runs of letters and digits, in lower case (ASCII and Latin-1 letters).
+    """
+
+    def __init__(self, plain: bool = False) -> None:
         self.up, self.down = _powers(PIECE_BYTES + 1)
+        self.plain = plain
 
     def words(self, data: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple:
         """(hash, start) of every word, and hashes of the words cut to so many bytes."""
         if len(data) + 1 > len(self.up):
             self.up, self.down = _powers(len(data) + 1)
-        inner = ~_BLANK[data]
+        if self.plain:
+            upper = np.zeros(len(data), dtype=bool)
+            upper[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+            data = np.where(upper, data + np.uint8(0x20), _LOWER[data])
+        inner = ~(_NO_WORD if self.plain else _BLANK)[data]
         edge = np.diff(inner.astype(np.int8), prepend=0, append=0)
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
