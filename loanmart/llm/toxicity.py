@@ -39,6 +39,8 @@ BATCH = 64
 PREFIXES = (4, 5)
 THRESHOLD = 0.3
 LEAST_POSITIVES = 20
+LEAST_TEXTS = 3
+LEAST_SEEN = 9000
 CHUNK_WORDS = 100_000
 
 
@@ -123,9 +125,15 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
     by_filter = [_Adagrad(f.shape, 0.02) for f in model.filters]
     level = np.zeros(1, dtype=np.float32)
     usable = np.flatnonzero([len(t) > 0 for t in texts])
-    for _ in range(epochs):
+    # rows seen in too few texts say more about these texts than about words: they stay zero
+    seen_in = np.zeros(BUCKETS, dtype=np.int32)
+    for i in usable:
+        seen_in[np.unique(texts[i])] += 1
+    learned = seen_in >= LEAST_TEXTS
+    model.table[~learned] = 0
+    # a small sample takes more rounds to as many steps
+    for _ in range(max(epochs, min(30, LEAST_SEEN // max(1, len(usable))))):
         order = rng.permutation(usable)
-        # texts of like length share a batch less evenly than memory needs: batches go by words
         for lo in range(0, len(order), BATCH):
             some = order[lo : lo + BATCH]
             ids = np.concatenate([texts[i] for i in some])
@@ -159,7 +167,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
             touched, at = np.unique(rows, return_inverse=True)
             change = np.zeros((len(touched), SIZE), dtype=np.float32)
             np.add.at(change, at, grads)
-            by["table"].step(model.table, change, touched)
+            by["table"].step(model.table, change[learned[touched]], touched[learned[touched]])
             by["out"].step(model.out, (seen * error[:, None]).sum(axis=0))
             by["bias"].step(model.bias, back.sum(axis=0))
             by["level"].step(level, error.sum(keepdims=True))
