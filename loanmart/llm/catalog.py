@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, mixing, near_dup, sharding, toxicity, url_filter, warc
+from . import chat, decontaminate, hnsw, mixing, near_dup, sharding, toxicity, url_filter, warc
 from .common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,20 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, folder, "labels"), ~apart)
     scores = toxicity.scored(docs, model, "doc_id")
     return scores.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query(
+    """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, c) as (select vec_id, vec_id from v union select l.b, r.c from r join l on r.a = l.a and r.c < l.b)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(c, vec_id) as component_id, coalesce(c, vec_id) = vec_id as kept
+from embeddings
+  left join (select a, count(*) as n from l group by a) k on k.a = vec_id
+  left join (select a, min(c) as c from r group by a) m on m.a = vec_id
+"""
+)
+def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9."""
+    return hnsw.near_vectors(table(spark, folder, "embeddings"))
