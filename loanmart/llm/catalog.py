@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, hnsw, mixing, near_dup, sharding, toxicity, url_filter, warc
+from . import chat, decontaminate, hnsw, mixing, near_dup, pii, sharding, toxicity, url_filter, warc
 from .common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,9 @@ from embeddings
 def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.9."""
     return hnsw.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query()
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    return pii.pii_report(table(spark, folder, "documents"))

@@ -156,10 +156,14 @@ def mix(docs: DataFrame, size: Column, doc_id="doc_id", text="text", source="sou
     Documents without words carry nothing and stay once.
     """
     cut = cuts(measured(docs, size, doc_id, text, source), **options).alias("cut")
-    d = docs.alias("d")
-    key, words = mix_key(F.col(f"d.`{doc_id}`"), F.col(f"d.`{text}`")), size
-    taken = taken_words(words, key)
-    copies = F.when(words > 0, F.round(taken / words)).otherwise(1).cast("int")
-    names = [F.col(f"d.`{c}`") for c in docs.columns]
-    spread = d.join(cut, F.col(f"d.`{source}`").eqNullSafe(F.col("cut.source"))).where(copies > 0)
-    return spread.select(*names, F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).drop("_copy")
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.col(f"`{source}`").alias("from"),
+        mix_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("key"),
+        size.cast("long").alias("words"),
+    )
+    words = F.col("words")
+    copies = F.when(words > 0, F.round(taken_words(words, F.col("key")) / words)).otherwise(1).cast("int")
+    spread = packed.join(cut, F.col("from").eqNullSafe(F.col("cut.source"))).select("doc", copies.alias("copies"))
+    spread = spread.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("epoch"))
+    return spread.select("doc.*")
