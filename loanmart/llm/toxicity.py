@@ -87,15 +87,19 @@ class Model:
             at += w * FILTERS
         return emb, response
 
-    def pool(self, ids: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
-        """Maximum of every filter over each text, in chunks that overlap by the widest filter."""
+    def pool(self, ids: np.ndarray, owner: np.ndarray, rows: int, windows: int | None = None) -> np.ndarray:
+        """Maximum of every filter over each text, in chunks that overlap by the widest filter.
+
+        With ``windows`` only so many first places count: a text may go on after the words given.
+        """
         best = np.full((rows, FILTERS * len(WIDTHS)), -np.inf, dtype=np.float32)
         reach = max(WIDTHS) - 1
-        for lo in range(0, len(ids), CHUNK_WORDS):
+        n = len(ids) if windows is None else windows
+        for lo in range(0, n, CHUNK_WORDS):
             hi = min(lo + CHUNK_WORDS + reach, len(ids))
             own = owner[lo:hi]
             _, response = self.convolve(ids[lo:hi], own)
-            use = min(CHUNK_WORDS, hi - lo)
+            use = min(CHUNK_WORDS, n - lo)
             response, own = response[:use], own[:use]
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             top = np.maximum.reduceat(response, starts, axis=0)
@@ -258,20 +262,34 @@ def _unpacked(chunk: pa.ListArray) -> list[np.ndarray]:
 def _scorer(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(plain=True)
-        reach = max(WIDTHS) - 1
+        reach, ids_none = max(WIDTHS) - 1, np.zeros((0, 1 + len(PREFIXES)), dtype=np.int32)
         for batch in batches:
             scores = np.zeros(len(batch))
             if model is not None:
                 pooled = np.full((len(batch), FILTERS * len(WIDTHS)), -np.inf, dtype=np.float32)
-                tail, tail_of = None, -1
+                tail, tail_of = ids_none, -1
+
+                def pool(ids: np.ndarray, owner: np.ndarray, first: int, rows: int, windows: int | None = None) -> None:
+                    if not len(ids):
+                        return
+                    best = model.pool(ids, owner, rows, windows)
+                    pooled[first : first + rows] = np.maximum(pooled[first : first + rows], best)
+
                 for first, rows, hashes, owner, cut in doc_words(batch.column("text"), hasher, PREFIXES):
                     ids = _ids(hashes, cut)
-                    if tail_of == first and len(tail):
-                        # a further part of a long text: windows may begin in the part before
-                        ids, owner = np.concatenate([tail, ids]), np.zeros(len(tail) + len(ids), dtype=np.int64)
-                    if len(ids):
-                        pooled[first : first + rows] = np.maximum(pooled[first : first + rows], model.pool(ids, owner, rows))
-                    tail, tail_of = (ids[-reach:], first) if rows == 1 else (None, -1)
+                    if tail_of != first:
+                        # the text before is over: its last places
+                        pool(tail, np.zeros(len(tail), dtype=np.int64), tail_of, 1)
+                        tail = ids_none
+                    if rows > 1:
+                        pool(ids, owner, first, rows)
+                        continue
+                    # one text, which may go on: the last places wait for the words that follow
+                    ids = np.concatenate([tail, ids])
+                    done = max(0, len(ids) - reach)
+                    pool(ids, np.zeros(len(ids), dtype=np.int64), first, 1, done)
+                    tail, tail_of = ids[done:], first
+                pool(tail, np.zeros(len(tail), dtype=np.int64), tail_of, 1)
                 scores = model.score(pooled)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(scores)],
                                              names=[*batch.schema.names[:-1], "score"])
