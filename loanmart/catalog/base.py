@@ -190,7 +190,7 @@ from g_feat f join g_lbl l on f.customer_id = l.customer_id and f.snapshot_date
     # stratified split of the labels known before the run month; the run month is out of time
     "g_hash": """
 select *, substr(md5(concat_ws('|', loan_id, customer_id, cast(loan_start_date as varchar), '42')), 1, 13) as h
-from g_merged where label_snapshot_date <> date '2000-06-01'""",
+from g_merged where label_snapshot_date < date '2000-06-01'""",
     "g_rank": """
 select *, rank() over (partition by label order by h) as rk, count(*) over (partition by label) as n from g_hash""",
     "g_split": """

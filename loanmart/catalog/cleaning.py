@@ -50,7 +50,7 @@ def fl3(t: Marts) -> DataFrame:
 def fl4(t: Marts) -> DataFrame:
     labels = t.gold_labels.withColumnRenamed("snapshot_date", "label_snapshot_date")
     parts = Sp.out_of_time_rows(labels, "2000-06-01").select("loan_id", F.lit("oot").alias("part")).unionByName(
-        Sp.development_rows(labels, "2000-06-01").select("loan_id", F.lit("development").alias("part"))
+        labels.where(~Sp.is_out_of_time("2000-06-01")).select("loan_id", F.lit("development").alias("part"))
     )
     return parts.groupBy("part").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("loan_id").alias("loans")

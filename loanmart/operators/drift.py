@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .order_stats import DIRECT_ROWS, exact_quantiles
+from .order_stats import exact_quantiles
 
 # fixed values
 BUCKETS = 10
@@ -58,6 +58,10 @@ def bin_counts(df: DataFrame, edges: dict[str, list[float]], by=()) -> DataFrame
     those outside all bins.
     """
     features = [f for f in edges if f in df.columns]
+    if not features:
+        none = F.lit(None)
+        empty = df.select(*by, none.cast("string").alias("feature"), none.cast("long").alias("n"), none.cast("array<bigint>").alias("counts"))
+        return empty.limit(0)
     binned = df.select(*by, *[_present_bin(F.col(f), edges[f]).alias(f) for f in features])
     long = binned.unpivot(list(by), features, "feature", "bin")
     b = F.col("bin")
@@ -82,13 +86,11 @@ def bin_shares(counted: DataFrame) -> DataFrame:
     return counted.withColumn("shares", shares)
 
 
-def fit_reference(
-    reference: DataFrame, features, buckets: int = BUCKETS, direct_rows: int = DIRECT_ROWS
-) -> Reference:
+def fit_reference(reference: DataFrame, features, buckets: int = BUCKETS) -> Reference:
     """Edges and shares of every feature; features without any value are left out."""
     clean = reference.select(*[F.nanvl(F.col(f).cast("double"), F.lit(None)).alias(f) for f in features])
     probs = [i / buckets for i in range(buckets + 1)]
-    quantiles = exact_quantiles(clean, {f: probs for f in features}, direct_rows=direct_rows)
+    quantiles = exact_quantiles(clean, {f: probs for f in features})
     edges = {f: [q[p] for p in probs] for f, q in quantiles.items() if q[0.0] is not None}
     if not edges:
         return Reference({}, {})

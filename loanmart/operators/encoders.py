@@ -9,20 +9,24 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import FeatureHasher
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
 from ..functions import numbers as N, text as X
 from .cleaning import map_columns
-from .order_stats import DIRECT_ROWS, approx_quantiles, exact_quantiles
+from .order_stats import approx_quantiles, exact_quantiles
 
-# a one-hot or ordinal column with more categories than this is refused at fit:
-# its encoding is one output column / branch per category
-MAX_CATEGORIES = 2000
+HASHED_COLUMN = "hashed_categories"
 
 
 @dataclass(frozen=True)
 class EncoderSpec:
+    """One-hot and ordinal columns become a column or a branch per category, so their categories are
+    parameters on the driver.  Columns with categories without number go to ``hashed``: one
+    sparse vector for all of them, without any fit.
+    """
+
     caps: tuple[str, ...] = S.CAP_COLUMNS
     cap_probability: float = S.CAP_PROBABILITY
     fills: tuple[str, ...] = (*S.FILL_COLUMNS, *S.EXTRA_FILL_COLUMNS)
@@ -33,6 +37,7 @@ class EncoderSpec:
     # "raw": scalers see the training rows as stored; "processed": after cap and fill
     fit_scalers_on: str = "raw"
     quantiles: str = "exact"
+    hashed: tuple[str, ...] = ()
 
     def present_in(self, columns) -> "EncoderSpec":
         """The same spec limited to columns a frame has."""
@@ -48,6 +53,7 @@ class EncoderSpec:
             {c: v for c, v in self.sentinels.items() if c in have},
             self.fit_scalers_on,
             self.quantiles,
+            keep(self.hashed),
         )
 
 
@@ -59,6 +65,7 @@ class FittedEncoders:
     ordinal: dict[str, list[str | None]]
     scalers: dict[str, tuple[float | None, float | None]]
     sentinels: dict[str, str]
+    hashed: list[str] = field(default_factory=list)
 
     PARAM_SCHEMA = "encoder string, column string, position int, value string"
 
@@ -69,6 +76,7 @@ class FittedEncoders:
             rows += [(kind, c, i, v) for c, values in lists.items() for i, v in enumerate(values)]
         rows += [("scale", c, i, _text(v)) for c, pair in self.scalers.items() for i, v in enumerate(pair)]
         rows += [("sentinel", c, 0, v) for c, v in self.sentinels.items()]
+        rows += [("hashed", c, i, None) for i, c in enumerate(self.hashed)]
         return spark.createDataFrame(rows, self.PARAM_SCHEMA)
 
     @classmethod
@@ -87,18 +95,21 @@ class FittedEncoders:
                 out.ordinal.setdefault(c, []).append(v)
             elif r["encoder"] == "scale":
                 out.scalers[c] = (*out.scalers.get(c, ()), _number(v))
+            elif r["encoder"] == "hashed":
+                out.hashed.append(c)
             else:
                 out.sentinels[c] = v
         return out
 
     def transform(self, df: DataFrame, keep_ids: bool = True) -> DataFrame:
-        """cap -> fill -> one-hot -> ordinal -> scale; ids are dropped on request."""
+        """cap -> fill -> one-hot -> ordinal -> scale -> hash; ids are dropped on request."""
         df = cap_outliers(df, self.caps)
         df = fill_nulls(df, self.fills)
         df = null_sentinels(df, self.sentinels)
         df = one_hot(df, self.one_hot)
         df = ordinal(df, self.ordinal)
         df = scale(df, self.scalers)
+        df = hash_categories(df, self.hashed)
         return df if keep_ids else df.drop(*S.ID_COLUMNS)
 
     def feature_columns(self, encoded: DataFrame, label: str = "label") -> list[str]:
@@ -116,7 +127,7 @@ def _number(v) -> float | None:
 
 
 # --- fit ----------------------------------------------------------------------
-def fit_quantiles(train: DataFrame, spec: EncoderSpec, direct_rows: int = DIRECT_ROWS):
+def fit_quantiles(train: DataFrame, spec: EncoderSpec):
     """Caps and fill values of all columns, sharing every pass over the rows."""
     wanted = {
         c: [p for p, names in ((spec.cap_probability, spec.caps), (0.5, spec.fills)) if c in names]
@@ -125,7 +136,7 @@ def fit_quantiles(train: DataFrame, spec: EncoderSpec, direct_rows: int = DIRECT
     if not wanted:
         return {}, {}
     if spec.quantiles == "exact":
-        values = exact_quantiles(train, wanted, direct_rows=direct_rows)
+        values = exact_quantiles(train, wanted)
     else:
         values = approx_quantiles(train, wanted)
     return (
@@ -140,22 +151,12 @@ def fit_categories(train: DataFrame, columns) -> dict[str, list[str | None]]:
     if not columns:
         return {}
     long = train.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    seen = (
-        long.unpivot([], columns, "column", "value")
-        .distinct()
-        .limit(len(columns) * (MAX_CATEGORIES + 1))
-        .collect()
-    )
     out: dict[str, list[str | None]] = {c: [] for c in columns}
-    for r in seen:
+    for r in long.unpivot([], columns, "column", "value").distinct().collect():
         out[r["column"]].append(r["value"])
-    for c, values in out.items():
-        if len(values) > MAX_CATEGORIES:
-            raise ValueError(f"{c} has more than {MAX_CATEGORIES} categories")
-        out[c] = sorted(v for v in values if v is not None) + ([None] if None in values else [])
-    if len(seen) == len(columns) * (MAX_CATEGORIES + 1):
-        raise ValueError(f"more than {MAX_CATEGORIES} categories per column")
-    return out
+    return {
+        c: sorted(v for v in values if v is not None) + ([None] if None in values else []) for c, values in out.items()
+    }
 
 
 def fit_scalers(train: DataFrame, columns) -> dict[str, tuple[float | None, float | None]]:
@@ -170,11 +171,9 @@ def fit_scalers(train: DataFrame, columns) -> dict[str, tuple[float | None, floa
     return {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in columns}
 
 
-def fit_encoders(
-    train: DataFrame, spec: EncoderSpec = EncoderSpec(), direct_rows: int = DIRECT_ROWS
-) -> FittedEncoders:
+def fit_encoders(train: DataFrame, spec: EncoderSpec = EncoderSpec()) -> FittedEncoders:
     spec = spec.present_in(train.columns)
-    caps, fills = fit_quantiles(train, spec, direct_rows)
+    caps, fills = fit_quantiles(train, spec)
     categories = fit_categories(null_sentinels(train, spec.sentinels), (*spec.one_hot, *spec.ordinal))
     scaler_rows = train
     if spec.fit_scalers_on == "processed":
@@ -186,6 +185,7 @@ def fit_encoders(
         {c: categories[c] for c in spec.ordinal},
         fit_scalers(scaler_rows, spec.scaled),
         spec.sentinels,
+        list(spec.hashed),
     )
 
 
@@ -236,10 +236,14 @@ def scale(df: DataFrame, scalers: dict[str, tuple[float | None, float | None]])
     return _replace(df, {c: N.standardise(F.col(c), *pair) for c, pair in scalers.items()})
 
 
+def hash_categories(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One sparse vector of hashed categories in place of the columns."""
+    columns = [c for c in columns if c in df.columns]
+    if not columns:
+        return df
+    return FeatureHasher(inputCols=columns, outputCol=HASHED_COLUMN, categoricalCols=columns).transform(df).drop(*columns)
+
+
 def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     new = {c: expr for c, expr in new.items() if c in df.columns}
     return df.withColumns(new) if new else df
-
-
-def drop_columns(df: DataFrame, columns) -> DataFrame:
-    return df.drop(*columns)

@@ -2,16 +2,18 @@
 
 The built-in ``percentile`` keeps every distinct value of a group in one task,
 which a continuous column of a large table does not survive.  Here each wanted
-rank is narrowed down instead:
-
-1. a bounded sketch (``percentile_approx``) proposes values around the rank,
-2. one exact count of rows below / up to each proposal turns them into an open
-   interval that must hold the rank (or hits it: ties are settled at this step),
-3. intervals that hold few rows are read off exactly; the rest go round again.
-
-A round shrinks an interval by about accuracy / 4, so two rounds cover 10^12
-rows.  Results never depend on the sketch being right, only the number of rounds
-does.  All columns and ranks share each pass, and only parameters reach the driver.
+rank is narrowed down until a value hits it, all columns and ranks in the same two
+jobs per round:
+
+1. one bounded sketch (``percentile_approx``) per column and open interval proposes
+   values at and around the ranks, and the least and greatest value of the interval,
+2. one exact count per column of rows between and at the proposals says which rank
+   is hit (ties of any size are settled here) and which interval holds the others.
+
+A round shrinks an interval by about accuracy / 4 and always ends at least its two
+outermost values, so two or three rounds cover 10^12 rows; where the sketch is exact,
+one does.  Results never depend on the sketch being right.  The path is the same for
+any number of rows, and only parameters reach the driver.
 """
 
 from __future__ import annotations
@@ -20,12 +22,8 @@ import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# an interval of at most this many rows is sorted in one task
-DIRECT_ROWS = 400_000
-# and all intervals one job reads off hold at most this many together
-GATHERED_ROWS = 2_000_000
 SKETCH_ACCURACY = 5_000
 
 
@@ -40,118 +38,122 @@ class _Interval:
     size: int
     ranks: list[int]
 
-    def values(self, value: Column) -> Column:
-        inside = value.isNotNull()
-        if self.low is not None:
-            inside = inside & (value > F.lit(self.low))
-        if self.high is not None:
-            inside = inside & (value < F.lit(self.high))
-        return F.when(inside, value)
-
 
 def order_statistics(
     df: DataFrame,
     targets: dict[str, tuple[Column, Iterable[int]]],
     sizes: dict[str, int],
-    direct_rows: int = DIRECT_ROWS,
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, dict[int, object]]:
-    """Values at 0-based ranks of each target's non-NULL values in ascending order.
+    """Values at 0-based ranks of each target's values in ascending order; NULL and NaN are no values.
 
     ``targets`` maps a name to (value expression, ranks); ``sizes`` holds the number
-    of non-NULL values of each.  Values must not be NaN.
+    of values of each.
     """
     found: dict[str, dict[int, object]] = {name: {} for name in targets}
-    pending = [
-        _Interval(name, None, None, 0, sizes[name], sorted(set(ranks)))
-        for name, (_, ranks) in targets.items()
-        if sizes[name] and ranks
-    ]
-    while pending:
-        small = [w for w in pending if w.size <= direct_rows]
-        large = [w for w in pending if w.size > direct_rows]
-        for batch in _batches(small):
-            _read_off(df, targets, batch, found)
-        pending = _narrow(df, targets, large, found, accuracy) if large else []
+    wanted = {name: sorted(set(ranks)) for name, (_, ranks) in targets.items() if sizes[name]}
+    kinds = df.select(*[targets[name][0].alias(name) for name in wanted]).schema if wanted else []
+    # integers and doubles can't share a column without losing digits
+    for whole in (True, False):
+        names = [f.name for f in kinds if isinstance(f.dataType, T.IntegralType) == whole and wanted[f.name]]
+        values = {}
+        for name in names:
+            c = targets[name][0].cast("long" if whole else "double")
+            values[name] = c if whole else F.when(~F.isnan(c), c)
+        pending = [_Interval(name, None, None, 0, sizes[name], wanted[name]) for name in names]
+        while pending:
+            proposals = _propose(df, values, pending, accuracy, whole)
+            marks = _count(df, values, proposals, whole)
+            pending = _settle(pending, marks, found)
     return found
 
 
-def _batches(intervals: list[_Interval]) -> list[list[_Interval]]:
-    out: list[list[_Interval]] = []
-    held = GATHERED_ROWS
+def _propose(df, values, intervals: list[_Interval], accuracy: int, whole: bool) -> dict[str, list]:
+    """Sorted proposals of each target that still has open ranks."""
+    slack = 2.0 / accuracy
+    near: list[list[float]] = []
     for w in intervals:
-        if held + w.size > GATHERED_ROWS:
-            out.append([])
-            held = 0
-        out[-1].append(w)
-        held += w.size
-    return out
+        at = [(r - w.first + 0.5) / w.size for r in w.ranks]
+        near.append(sorted({min(max(p + d, 0.0), 1.0) for p in at for d in (-slack, 0.0, slack)}))
+    shares = sorted({p for some in near for p in some})
+    place = {p: i for i, p in enumerate(shares)}
+    by_name: dict[str, list[int]] = {}
+    for i, w in enumerate(intervals):
+        by_name.setdefault(w.name, []).append(i)
+    kind = "bigint" if whole else "double"
+    bounds = {
+        name: F.array(*[F.struct(F.lit(intervals[i].low).cast(kind).alias("low"), F.lit(intervals[i].high).cast(kind).alias("high"), F.lit(i).alias("at")) for i in own])
+        for name, own in by_name.items()
+    }
+    inside = F.filter(
+        _per_name(bounds),
+        lambda w: F.coalesce(F.col("v") > w["low"], F.lit(True)) & F.coalesce(F.col("v") < w["high"], F.lit(True)),
+    )
+    long = _long(df, {name: values[name] for name in by_name}).withColumn("at", F.get(inside, F.lit(0))["at"])
+    rows = long.where("at is not null").groupBy("at").agg(
+        F.percentile_approx("v", shares, accuracy).alias("near"), F.min("v").alias("low"), F.max("v").alias("high")
+    )
+    out: dict[str, set] = {name: set() for name in by_name}
+    for r in rows.collect():
+        w = intervals[r["at"]]
+        out[w.name].update({r["low"], r["high"], *(r["near"][place[p]] for p in near[r["at"]])})
+        if isinstance(r["low"], int):
+            # the sketch works on doubles, too coarse for wide integers: halving always ends
+            out[w.name].add((r["low"] + r["high"]) // 2)
+    return {name: sorted(found) for name, found in out.items()}
 
 
-def _read_off(df, targets, intervals, found) -> None:
-    lists = df.agg(
-        *[
-            F.sort_array(F.collect_list(w.values(targets[w.name][0]))).alias(f"w{i}")
-            for i, w in enumerate(intervals)
-        ]
-    )
-    row = lists.select(
-        *[
-            F.array(*[F.get(F.col(f"w{i}"), F.lit(r - w.first)) for r in w.ranks]).alias(f"w{i}")
-            for i, w in enumerate(intervals)
-        ]
-    ).first()
-    for w, values in zip(intervals, row):
-        found[w.name].update(zip(w.ranks, values))
+def _long(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(name, v) of all values of all targets."""
+    names = list(values)
+    return df.select(*[values[n].alias(n) for n in names]).unpivot([], names, "name", "v").where("v is not null")
 
 
-def _narrow(df, targets, intervals, found, accuracy) -> list[_Interval]:
-    slack = 2.0 / accuracy
-    sketches = []
-    for i, w in enumerate(intervals):
-        near = set()
-        for r in w.ranks:
-            at = (r - w.first) / max(w.size - 1, 1)
-            near.update((max(at - slack, 0.0), min(at + slack, 1.0)))
-        inside = w.values(targets[w.name][0])
-        sketches += [
-            F.percentile_approx(inside, sorted(near), accuracy).alias(f"w{i}"),
-            F.min(inside).alias(f"min{i}"),
-            F.max(inside).alias(f"max{i}"),
-        ]
-    sketched = df.agg(*sketches).first()
-    proposals = []
-    for i in range(len(intervals)):
-        low, high = sketched[f"min{i}"], sketched[f"max{i}"]
-        proposed = {low, high, *sketched[f"w{i}"]}
-        if isinstance(low, int):
-            # the sketch works on doubles, too coarse for wide integers: halving always ends
-            proposed.add((low + high) // 2)
-        proposals.append(sorted(proposed))
-    counted = df.agg(
-        *[
-            count.alias(f"w{i}_{j}_{side}")
-            for i, w in enumerate(intervals)
-            for j, v in enumerate(proposals[i])
-            for side, count in (
-                ("lt", F.count_if(targets[w.name][0] < F.lit(v))),
-                ("le", F.count_if(targets[w.name][0] <= F.lit(v))),
-            )
-        ]
-    ).first()
+def _per_name(arrays: dict[str, Column]) -> Column:
+    return F.element_at(F.create_map(*[x for n, a in arrays.items() for x in (F.lit(n), a)]), F.col("name"))
+
+
+def _count(df, values, proposals: dict[str, list], whole: bool) -> dict[str, list[tuple]]:
+    """(proposal, number of values below it, number at or below it) of each target."""
+    kind = "bigint" if whole else "double"
+    marks_of = _per_name({n: F.array(*[F.lit(p).cast(kind) for p in some]) for n, some in proposals.items()})
+    long = _long(df, {n: values[n] for n in proposals}).withColumn("marks", marks_of)
+    # the number of proposals up to the value, by halving
+    steps = [1 << k for k in range(max(map(len, proposals.values())).bit_length() - 1, -1, -1)]
+
+    def reached(found: Column, step: Column) -> Column:
+        there = F.get(F.col("marks"), found + step - 1)
+        return F.when(there <= F.col("v"), found + step).otherwise(found)
+
+    at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), reached)
+    long = long.withColumn("at", at)
+    # 2 j + 1 for a value equal to the j-th proposal, 2 j for one before it
+    hit = F.get("marks", F.col("at") - 1) == F.col("v")
+    long = long.select("name", F.when(hit, 2 * F.col("at") - 1).otherwise(2 * F.col("at")).alias("place"))
+    counts = {(r["name"], r["place"]): r["n"] for r in long.groupBy("name", "place").agg(F.count(F.lit(1)).alias("n")).collect()}
+    marks: dict[str, list[tuple]] = {}
+    for name, some in proposals.items():
+        before, marks[name] = 0, []
+        for j, v in enumerate(some):
+            before += counts.get((name, 2 * j), 0)
+            marks[name].append((v, before, before + counts.get((name, 2 * j + 1), 0)))
+            before = marks[name][-1][2]
+    return marks
+
+
+def _settle(intervals: list[_Interval], marks: dict[str, list[tuple]], found) -> list[_Interval]:
     remaining: dict[tuple, _Interval] = {}
-    for i, w in enumerate(intervals):
-        marks = [(v, counted[f"w{i}_{j}_lt"], counted[f"w{i}_{j}_le"]) for j, v in enumerate(proposals[i])]
+    for w in intervals:
         for r in w.ranks:
-            hit = [v for v, lt, le in marks if lt <= r < le]
+            hit = [v for v, lt, le in marks[w.name] if lt <= r < le]
             if hit:
                 found[w.name][r] = hit[0]
                 continue
             low, first = max(
-                [(v, le) for v, _, le in marks if le <= r], key=lambda m: m[1], default=(w.low, w.first)
+                [(v, le) for v, _, le in marks[w.name] if le <= r], key=lambda m: m[1], default=(w.low, w.first)
             )
             high, end = min(
-                [(v, lt) for v, lt, _ in marks if lt > r],
+                [(v, lt) for v, lt, _ in marks[w.name] if lt > r],
                 key=lambda m: m[1],
                 default=(w.high, w.first + w.size),
             )
@@ -164,14 +166,16 @@ def _narrow(df, targets, intervals, found, accuracy) -> list[_Interval]:
 
 
 def non_null_counts(df: DataFrame, columns) -> dict[str, int]:
-    return df.agg(*[F.count(F.col(c)).alias(c) for c in columns]).first().asDict()
+    """Numbers of values; a NaN is none."""
+    kinds = dict(df.dtypes)
+    value = {c: F.when(~F.isnan(F.col(c)), F.col(c)) if kinds[c] in ("double", "float") else F.col(c) for c in columns}
+    return df.agg(*[F.count(v).alias(c) for c, v in value.items()]).first().asDict()
 
 
 def exact_quantiles(
     df: DataFrame,
     wanted: dict[str, Iterable[float]],
     counts: dict[str, int] | None = None,
-    direct_rows: int = DIRECT_ROWS,
 ) -> dict[str, dict[float, float | None]]:
     """Linearly interpolated quantiles of several columns: {column: {p: value}}.
 
@@ -186,7 +190,7 @@ def exact_quantiles(
         )
         for c in wanted
     }
-    values = order_statistics(df, targets, counts, direct_rows)
+    values = order_statistics(df, targets, counts)
     out: dict[str, dict[float, float | None]] = {}
     for c, ps in positions.items():
         out[c] = {}

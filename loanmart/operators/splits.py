@@ -15,9 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schemas as S
-from .order_stats import DIRECT_ROWS, order_statistics
-
-MAX_CLASSES = 1000
+from .order_stats import order_statistics
 
 
 def row_hash(keys, seed: int = S.SPLIT_SEED) -> Column:
@@ -36,6 +34,10 @@ class ClassCut:
     valid_hash: int | None
 
 
+def _hash(value: int | None) -> Column:
+    return F.lit(value).cast("bigint")
+
+
 @dataclass(frozen=True)
 class SplitPlan:
     keys: tuple[str, ...]
@@ -44,15 +46,14 @@ class SplitPlan:
     cuts: tuple[ClassCut, ...]
 
     def column(self) -> Column:
-        h, label = row_hash(self.keys, self.seed), F.col(self.label)
-        out = F.when(F.lit(False), F.lit("train"))
-        for cut in self.cuts:
-            of_class = label == F.lit(cut.label)
-            if cut.test_hash is not None:
-                out = out.when(of_class & (h <= F.lit(cut.test_hash)), "test")
-            if cut.valid_hash is not None:
-                out = out.when(of_class & (h <= F.lit(cut.valid_hash)), "valid")
-        return out.otherwise("train")
+        """The split by one look-up of the class's cuts."""
+        if not self.cuts:
+            return F.lit("train")
+        cuts = F.create_map(
+            *[x for c in self.cuts for x in (F.lit(c.label), F.struct(_hash(c.test_hash).alias("test"), _hash(c.valid_hash).alias("valid")))]
+        )
+        h, cut = row_hash(self.keys, self.seed), F.try_element_at(cuts, F.col(self.label))
+        return F.when(h <= cut["test"], "test").when(h <= cut["valid"], "valid").otherwise("train")
 
 
 def fit_split(
@@ -62,13 +63,17 @@ def fit_split(
     test_share: float = S.TEST_SHARE,
     valid_share: float = S.VALID_SHARE,
     seed: int = S.SPLIT_SEED,
-    direct_rows: int = DIRECT_ROWS,
+    max_classes: int | None = None,
 ) -> SplitPlan:
-    """Quotas are ceil(test_share * n) and ceil(valid_share * rest) per label value."""
+    """Quotas are ceil(test_share * n) and ceil(valid_share * rest) per label value.
+
+    Classes are parameters on the driver; with ``max_classes`` a column of more values is refused.
+    """
     keys = tuple(keys)
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} values; it is not a class label")
+    counted = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    sizes = (counted.limit(max_classes + 1) if max_classes else counted).collect()
+    if max_classes and len(sizes) > max_classes:
+        raise ValueError(f"{label} has more than {max_classes} values; it is not a class label")
     quotas, targets, counts = {}, {}, {}
     for row in sorted((r for r in sizes if r[label] is not None), key=lambda r: r[label]):
         n = row["n"]
@@ -79,7 +84,7 @@ def fit_split(
         wanted = ([n_test - 1] if n_test else []) + ([n_test + n_valid - 1] if n_valid else [])
         targets[name] = (F.when(F.col(label) == F.lit(row[label]), row_hash(keys, seed)), wanted)
         counts[name] = n
-    values = order_statistics(df, targets, counts, direct_rows)
+    values = order_statistics(df, targets, counts)
     cuts = tuple(
         ClassCut(
             value,
@@ -98,8 +103,13 @@ def is_out_of_time(as_of, column: str = "label_snapshot_date") -> Column:
     return F.col(column) == F.lit(as_of).cast("date")
 
 
-def development_rows(df: DataFrame, as_of) -> DataFrame:
-    return df.where(~is_out_of_time(as_of))
+def is_development(as_of, column: str = "label_snapshot_date", label: str = "label") -> Column:
+    """Known before the run month; rows without a month or a label are in no split."""
+    return (F.col(column) < F.lit(as_of).cast("date")) & F.col(label).isNotNull()
+
+
+def development_rows(df: DataFrame, as_of, label: str = "label") -> DataFrame:
+    return df.where(is_development(as_of, label=label))
 
 
 def out_of_time_rows(df: DataFrame, as_of) -> DataFrame:
@@ -107,15 +117,34 @@ def out_of_time_rows(df: DataFrame, as_of) -> DataFrame:
 
 
 def assign_splits(df: DataFrame, as_of, keys, label: str = "label", **options) -> DataFrame:
-    """Add ``split``: oot for the run month, train / valid / test for earlier labels."""
-    plan = fit_split(development_rows(df, as_of), keys, label, **options)
-    return df.withColumn("split", F.when(is_out_of_time(as_of), "oot").otherwise(plan.column()))
+    """Rows up to the run month with ``split``: oot for that month, train / valid / test for earlier labels.
+
+    Later rows, and rows without a label or its month, are left out.
+    """
+    plan = fit_split(development_rows(df, as_of, label), keys, label, **options)
+    split = F.when(is_out_of_time(as_of), "oot").when(is_development(as_of, label=label), plan.column())
+    return df.withColumn("split", split).where(F.col("split").isNotNull())
 
 
 def train_and_valid(df: DataFrame) -> DataFrame:
     return df.where(F.col("split").isin("train", "valid"))
 
 
-def fold_column(keys, folds: int = 5, seed: int = S.SPLIT_SEED) -> Column:
-    """Cross-validation fold by key hash (another hash than the split uses)."""
-    return F.pmod(row_hash(keys, seed + 1), F.lit(folds)).cast("int")
+def with_folds(df: DataFrame, keys, label: str = "label", folds: int = 5, seed: int = S.SPLIT_SEED) -> DataFrame:
+    """Add ``fold``: cross-validation folds of near equal size within every label value.
+
+    The edges of a class's folds are order statistics of another hash than the split uses, so
+    applying them is a projection; rows with equal keys share a fold.
+    """
+    keys = tuple(keys)
+    h = row_hash(keys, seed + 1)
+    sizes = {r[label]: r["n"] for r in df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranks = {v: [n * k // folds - 1 for k in range(1, folds) if n * k // folds] for v, n in sizes.items()}
+    targets = {str(v): (F.when(F.col(label) == F.lit(v), h), ranks[v]) for v in sizes}
+    values = order_statistics(df, targets, {str(v): n for v, n in sizes.items()})
+    fold = F.lit(0)
+    for v in sizes:
+        edges = [values[str(v)][r] for r in ranks[v]]
+        above = sum([(h > F.lit(e)).cast("int") for e in edges], F.lit(0))
+        fold = F.when(F.col(label) == F.lit(v), above).otherwise(fold)
+    return df.withColumn("fold", fold.cast("int"))

@@ -58,8 +58,12 @@ def test_parameter_table_round_trip(spark):
     assert again == fitted
 
 
-def test_too_many_categories(spark, monkeypatch):
-    monkeypatch.setattr(E, "MAX_CATEGORIES", 5)
-    df = spark.range(50).select(F.col("id").cast("string").alias("job"))
-    with pytest.raises(ValueError):
-        E.fit_categories(df, ["job"])
+def test_many_categories_go_to_one_sparse_vector(spark):
+    df = spark.range(3_000).select(F.concat(F.lit("c"), F.col("id")).alias("wide"), (F.col("id") % 3).cast("double").alias("x"))
+    spec = E.EncoderSpec(caps=(), fills=(), one_hot=(), ordinal=(), scaled=("x",), sentinels={}, hashed=("wide",))
+    fitted = E.fit_encoders(df, spec)
+    assert E.FittedEncoders.from_table(fitted.to_table(spark)) == fitted
+    out = fitted.transform(df)
+    assert set(out.columns) == {"x", E.HASHED_COLUMN}
+    assert out.first()[E.HASHED_COLUMN].numNonzeros() == 1
+    assert len(E.fit_categories(df, ["wide"])["wide"]) == 3_000

@@ -19,7 +19,7 @@ def test_quotas_cover_and_stability(spark):
     split = Sp.assign_splits(df, "2024-12-01", ["loan_id"])
     got = rows(split, "loan_id", "split")
     assert len(got) == 3_000 and len({k for k, _ in got}) == 3_000
-    again = Sp.assign_splits(df.repartition(13), "2024-12-01", ["loan_id"], direct_rows=20)
+    again = Sp.assign_splits(df.repartition(13), "2024-12-01", ["loan_id"])
     assert rows(again, "loan_id", "split") == got
     for label in (0, 1):
         n = df.where(F.col("label") == label).where("label_snapshot_date <> date '2024-12-01'").count()
@@ -48,6 +48,20 @@ def test_copies_stay_together_and_single_row_class(spark):
 
 
 def test_folds_are_balanced_and_repeatable(spark):
-    df = frame(spark, 5_000).withColumn("fold", Sp.fold_column(["loan_id"], 5))
-    counts = [r["count"] for r in df.groupBy("fold").count().collect()]
-    assert len(counts) == 5 and min(counts) > 850
+    df = Sp.with_folds(frame(spark, 5_000), ["loan_id"])
+    for label in (0, 1):
+        counts = [r["count"] for r in df.where(F.col("label") == label).groupBy("fold").count().collect()]
+        assert len(counts) == 5 and max(counts) - min(counts) <= 1
+    again = Sp.with_folds(frame(spark, 5_000).repartition(7), ["loan_id"])
+    assert rows(again, "loan_id", "fold") == rows(df, "loan_id", "fold")
+
+
+def test_rows_without_month_or_label_or_after_the_run_month_are_in_no_split(spark):
+    df = frame(spark, 900)
+    odd = df.limit(100)
+    undated = odd.withColumn("label_snapshot_date", F.lit(None).cast("date"))
+    unlabelled = odd.withColumn("label", F.lit(None).cast("int"))
+    later = odd.withColumn("label_snapshot_date", F.lit("2025-03-01").cast("date"))
+    mixed = df.unionByName(undated).unionByName(unlabelled.where("label_snapshot_date < '2024-12-01'")).unionByName(later)
+    got = Sp.assign_splits(mixed, "2024-12-01", ["loan_id"])
+    assert rows(got, "loan_id", "split") == rows(Sp.assign_splits(df, "2024-12-01", ["loan_id"]), "loan_id", "split")
