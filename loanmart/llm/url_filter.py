@@ -76,7 +76,9 @@ def _log_ratios(counts: DataFrame) -> DataFrame:
             F.sum("b").alias("nb"), F.count_if(F.col("b") > 0).alias("tb"),
         )
         if k == 1:
-            joined = level.withColumn("context", F.lit("")).join(seen, "context")
+            # the empty context is one row of four sums
+            sums = seen.drop("context").first() or [0] * 4
+            joined = level.withColumns({c: F.lit(v) for c, v in zip(("na", "ta", "nb", "tb"), sums)})
             joined = joined.withColumns({"pa": F.lit(1 / ALPHABET), "pb": F.lit(1 / ALPHABET)})
         else:
             joined = level.withColumns({"context": last, "suffix": F.substr("gram", F.lit(2))}).join(seen, "context")
