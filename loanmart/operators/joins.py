@@ -2,14 +2,14 @@
 
 Spark splits a skewed shuffle partition at run time for inner joins (either
 side) and for the preserved side of left/anti joins, but never for full outer
-joins and never for the non-preserved side.  Where a side that Spark cannot split
-is found to hold a hot key, the outer join is put together from parts it can split:
+joins and never for the non-preserved side.  So every outer join is put together
+from parts it can split, whatever the size of the inputs:
 
     inner part  +  left rows without partner  (+ right rows without partner)
 
-The inner and the anti part read the same exchange of the big side.  Without a
-hot key the plain join is used: one shuffle per side.  Rows with a NULL key have no
-partner by definition; they bypass the shuffle in either form.
+The inner and the anti part read the same exchange.  Rows with a NULL key have no partner
+by definition; they bypass the shuffle.  As the parts read their inputs several times, an input that
+is more than a filtered scan of a table is written first: nothing is computed twice.
 """
 
 from __future__ import annotations
@@ -18,42 +18,27 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .. import schemas as S
-
-# a side read from less than this fits ordinary tasks, hot key or not
-SMALL_BYTES = 256 * 1024 * 1024
-HASH_BUCKETS = 4096
-# a bucket is hot beyond this many rows and this multiple of the mean
-HOT_ROWS = 2_000_000
-HOT_FACTOR = 8
+from ..scratch import stored
 
 
 def _all_present(keys) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
-def source_bytes(df: DataFrame) -> int:
-    """Size of the tables a plan reads, from metadata only (join estimates multiply and say little)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+def _any_null(keys) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
 
 
-def has_hot_key(
-    df: DataFrame, keys, small_bytes: int = SMALL_BYTES, hot_rows: int = HOT_ROWS, factor: float = HOT_FACTOR
-) -> bool:
-    """Whether some key may hold far more rows than the average.
+def is_scan(df: DataFrame) -> bool:
+    """Whether a plan only reads, filters and projects one stored table."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.child()
+    return plan.nodeName() == "LogicalRelation" or plan.nodeName().startswith("Relation")
 
-    Small sources are let through: their rows fit ordinary tasks however they spread.
-    All rows of a key fall into one hash bucket, so bucket counts bound every
-    key's rows from above: "no" is certain, "yes" only costs the longer plan.  The
-    check scans the key columns and shuffles one counter per bucket and task.
-    """
-    if source_bytes(df) <= small_bytes:
-        return False
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(HASH_BUCKETS))
-    counts = df.where(_all_present(keys)).groupBy(bucket.alias("_bucket")).count()
-    hottest, total = counts.agg(F.max("count"), F.sum("count")).first()
-    return bool(hottest) and hottest > hot_rows and hottest > factor * total / HASH_BUCKETS
+
+def as_table(df: DataFrame) -> DataFrame:
+    return df if is_scan(df) else stored(df, "side")
 
 
 def distinct_keys(df: DataFrame, keys) -> DataFrame:
@@ -71,39 +56,31 @@ def distinct_keys(df: DataFrame, keys) -> DataFrame:
     )
 
 
-def unmatched(left: DataFrame, right: DataFrame, keys, hot: bool | None = None) -> DataFrame:
+def unmatched(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     """Rows of ``left`` whose key does not occur in ``right`` (NULL keys included)."""
     keys = list(keys)
-    if hot is None:
-        hot = has_hot_key(right, keys)
-    known = distinct_keys(right, keys) if hot else right.where(_all_present(keys)).select(*keys)
-    present = left.where(_all_present(keys))
-    return present.join(known, keys, "left_anti").unionByName(left.where(~_all_present(keys)))
-
+    left = as_table(left)
+    known = distinct_keys(right, keys)
+    return left.where(_all_present(keys)).join(known, keys, "left_anti").unionByName(left.where(_any_null(keys)))
 
-def outer_join(left: DataFrame, right: DataFrame, keys, how: str = "outer", hot: bool | None = None) -> DataFrame:
-    """Left or full outer USING join with coalesced keys, safe for hot keys on both sides.
 
-    ``hot`` forces or forbids the split form; by default the keys are checked.
-    """
+def outer_join(left: DataFrame, right: DataFrame, keys, how: str = "outer") -> DataFrame:
+    """Left or full outer USING join with coalesced keys, safe for hot keys on both sides."""
     keys = list(keys)
     shared = (set(left.columns) & set(right.columns)) - set(keys)
     if shared:
         raise ValueError(f"both sides have non-key columns {sorted(shared)}")
     if how not in ("left", "outer"):
         raise ValueError(f"unsupported join type {how!r}")
-    if hot is None:
-        hot = has_hot_key(right, keys) or (how == "outer" and has_hot_key(left, keys))
+    left, right = as_table(left), as_table(right)
     left_present, right_present = left.where(_all_present(keys)), right.where(_all_present(keys))
-    if hot:
-        parts = [left_present.join(right_present, keys, "inner"), unmatched(left_present, right, keys, True)]
-        if how == "outer":
-            parts.append(unmatched(right_present, left, keys, True))
-    else:
-        parts = [left_present.join(right_present, keys, how)]
-    parts.append(left.where(~_all_present(keys)))
+    parts = [
+        left_present.join(right_present, keys, "inner"),
+        left_present.join(distinct_keys(right, keys), keys, "left_anti"),
+        left.where(_any_null(keys)),
+    ]
     if how == "outer":
-        parts.append(right.where(~_all_present(keys)))
+        parts += [right_present.join(distinct_keys(left, keys), keys, "left_anti"), right.where(_any_null(keys))]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -150,7 +127,3 @@ def labels_with_predictions(labels: DataFrame, predictions: DataFrame) -> DataFr
 
 def features_by_snapshot(attributes: DataFrame, financials: DataFrame) -> DataFrame:
     return outer_join(attributes, financials, ("customer_id", "snapshot_date"))
-
-
-def drop_ids(df: DataFrame) -> DataFrame:
-    return df.drop(*S.ID_COLUMNS)

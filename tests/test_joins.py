@@ -20,33 +20,45 @@ def sides(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "outer"])
-@pytest.mark.parametrize("hot", [True, False, None])
-def test_split_form_equals_plain_join(spark, how, hot):
+def test_split_form_equals_plain_join(spark, how):
     left, right = sides(spark)
     want = rows(left.join(right, list(KEYS), how), "customer_id", "snapshot_date", "a", "b")
-    got = rows(J.outer_join(left, right, KEYS, how, hot=hot), "customer_id", "snapshot_date", "a", "b")
+    got = rows(J.outer_join(left, right, KEYS, how), "customer_id", "snapshot_date", "a", "b")
     assert got == want
-    swapped = J.outer_join(right, left, KEYS, how, hot=hot)
+    swapped = J.outer_join(right, left, KEYS, how)
     assert rows(swapped, "customer_id", "snapshot_date", "a", "b") == rows(
         right.join(left, list(KEYS), how), "customer_id", "snapshot_date", "a", "b"
     )
 
 
-@pytest.mark.parametrize("hot", [True, False])
-def test_unmatched_keeps_null_keys(spark, hot):
+def test_unmatched_keeps_null_keys(spark):
     left, right = sides(spark)
-    got = rows(J.unmatched(left, right, KEYS, hot), "a")
+    got = rows(J.unmatched(left, right, KEYS), "a")
     assert got == [("n1",), ("n2",), ("x",)]
 
 
-def test_hot_key_check(spark):
-    even = spark.range(20_000).select(F.col("id").alias("k"))
-    third = even.select(F.when(F.col("k") % 3 == 0, 0).otherwise(F.col("k")).alias("k"))
-    assert not J.has_hot_key(even, ["k"], small_bytes=0, hot_rows=100)
-    assert J.has_hot_key(third, ["k"], small_bytes=0, hot_rows=100)
-    assert not J.has_hot_key(third, ["k"])  # small sources are let through
-    nulls = even.select(F.when(F.col("k") % 3 == 0, None).otherwise(F.col("k")).alias("k"))
-    assert not J.has_hot_key(nulls, ["k"], small_bytes=0, hot_rows=100)  # NULL keys bypass the join
+def test_inputs_are_computed_once(spark, folder):
+    left, right = (df.dropDuplicates() for df in sides(spark))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = J.outer_join(left, right, KEYS)
+        assert not J.is_scan(left)
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # neither side's deduplication is left in the plan, and exchanges are shared by inner and anti parts
+    assert "functions=[first" not in plan and "Scan ExistingRDD" not in plan
+    assert "ReusedExchange" in plan
+    assert "PushedFilters: [Or(IsNull(customer_id),IsNull(snapshot_date))]" in plan
+
+
+def test_a_stored_input_is_not_written_again(spark, folder):
+    left, _ = sides(spark)
+    left.write.parquet(f"{folder}/t")
+    table = spark.read.parquet(f"{folder}/t").where("a > 'a'").select("customer_id", "a")
+    assert J.is_scan(table) and J.as_table(table) is table
 
 
 def test_skewed_partition_is_split_at_run_time(spark):
@@ -65,7 +77,7 @@ def test_skewed_partition_is_split_at_run_time(spark):
             F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.md5(F.col("id").cast("string")).alias("a")
         )
         right = spark.range(0, n, 1, 8).select((F.col("id") - 1).alias("k"), F.md5(F.col("id").cast("string")).alias("b"))
-        joined = J.outer_join(left, right, ["k"], hot=True)
+        joined = J.outer_join(left, right, ["k"])
         assert len(joined.collect()) == left.join(right, ["k"], "outer").count()
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert plan.count("SortMergeJoin(skew=true)") == 2
