@@ -49,8 +49,11 @@ def _top(sims: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-sims, k - 1, axis=1)[:, :k]
 
 
-def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, at_once: int = 4):
-    """Beam search of many queries at a time: (ids, similarities), unordered; ids of unused places are -1."""
+def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, floor: float = -np.inf, at_once: int = 4):
+    """Beam search of many queries at a time: (ids, similarities), unordered; ids of unused places are -1.
+
+    Nodes less similar than ``floor`` are not searched from.
+    """
     b, n = len(q), len(x)
     ids = np.full((b, ef), -1, dtype=np.int32)
     sims = np.full((b, ef), -np.inf, dtype=np.float32)
@@ -60,7 +63,7 @@ def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef
     first = True
     while True:
         if not first:
-            waiting = np.where(unread, sims, -np.inf)
+            waiting = np.where(unread & (sims >= floor), sims, -np.inf)
             pick = _top(waiting, at_once)
             live = np.take_along_axis(waiting, pick, axis=1) > -np.inf
             rows = np.flatnonzero(live.any(axis=1))
@@ -178,6 +181,7 @@ class Graph:
         n = len(self.x)
         for lo in range(0, len(q), BLOCK):
             rows, ef = np.arange(lo, min(lo + BLOCK, len(q))), beam
+            ids, floor = None, -np.inf
             while len(rows):
                 part = q[rows].astype(np.float32)
                 if ef >= n // 2:
@@ -185,11 +189,15 @@ class Graph:
                     i, j = np.nonzero(part @ self.x32.T >= COSINE - MARGIN)
                     full = np.zeros(len(rows), dtype=bool)
                 else:
-                    entry = np.zeros((len(rows), 1), dtype=np.int32)
-                    for links in self.links[:0:-1]:
-                        entry, _ = _beam(self.x32, links, part, entry, 4)
-                        entry = np.where(entry < 0, 0, entry)
-                    ids, sims = _beam(self.x32, self.links[0], part, entry, ef)
+                    if ids is None:
+                        entry = np.zeros((len(rows), 1), dtype=np.int32)
+                        for links in self.links[:0:-1]:
+                            entry, _ = _beam(self.x32, links, part, entry, 4)
+                            entry = np.where(entry < 0, 0, entry)
+                    else:
+                        # go on from what was found, through what is near enough
+                        entry, floor = ids, COSINE - 0.05
+                    ids, sims = _beam(self.x32, self.links[0], part, entry, ef, floor)
                     hit = sims >= COSINE - MARGIN
                     full = hit.sum(axis=1) * 2 >= ef
                     i, at = np.nonzero(hit & ~full[:, None])
@@ -199,6 +207,7 @@ class Graph:
                     good = np.einsum("ij,ij->i", q[qi], self.x[nj]) >= COSINE
                     yield qi[good], nj[good]
                 rows, ef = rows[full], ef * 4
+                ids = ids[full] if ids is not None else None
 
     def settle(self) -> None:
         """Widen the first beam until sampled members find what brute force finds; join own components."""
