@@ -98,6 +98,20 @@ def ag7(t: Marts) -> DataFrame:
     return Q.profile(t.lineitem, _PRICE).withColumn("stddev", F.round("stddev", 4))
 
 
+_TEXTS = {"fx_att": tuple(S.ATTRIBUTES), "fx_fin": tuple(S.FINANCIALS)}
+_TEXT_SUMMARY = " union all ".join(
+    f"""select '{name[3:]}' as "table", '{c}' as "column", count({c}) as n, min(cast({c} as varchar)) as min, max(cast({c} as varchar)) as max from {name}"""
+    for name, columns in _TEXTS.items()
+    for c in columns
+)
+
+
+@query("ag7_text_profile", _TEXT_SUMMARY)
+def ag7_text(t: Marts) -> DataFrame:
+    parts = [Q.text_profile(getattr(t, name), columns).withColumn("table", F.lit(name[3:])) for name, columns in _TEXTS.items()]
+    return parts[0].unionByName(parts[1])
+
+
 _SCALE = " union all ".join(
     f"select '{c}' as \"column\", {r(f'avg({c})')} as mean, round(stddev_pop({c}), 4) as std from lineitem" for c in _PRICE
 )

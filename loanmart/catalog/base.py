@@ -50,11 +50,16 @@ class Marts(Tables):
     @cached_property
     def split_view(self) -> DataFrame:
         """Labelled rows with their split; the joined rows are written once, the split is a projection."""
-        return Sp.assign_splits(self.stored(self.labelled), OOT_DATE, SPLIT_KEYS)
+        return self.split_of(*self.labelled.columns)
 
-    def stored(self, df: DataFrame) -> DataFrame:
+    def split_of(self, *columns: str) -> DataFrame:
+        """The same with only the columns named, and what the split needs, written."""
+        needed = dict.fromkeys((*SPLIT_KEYS, "label", "label_snapshot_date", *columns))
+        return Sp.assign_splits(self.stored(self.labelled.select(*needed)), OOT_DATE, SPLIT_KEYS)
+
+    def stored(self, df: DataFrame, name: str = "table") -> DataFrame:
         """Write a frame that several jobs read; lost executors then cost no rework."""
-        return scratch.stored(df)
+        return scratch.stored(df, name)
 
     def scratch(self) -> str:
         return scratch.new_path(self.spark, "files")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas as S
 from ..functions import numbers as N, text as X
-from ..operators import cleaning as C, labels as L, quality as Q, registry as R, splits as Sp
+from ..operators import cleaning as C, encoders as E, labels as L, quality as Q, registry as R, splits as Sp
+from ..operators.order_stats import exact_quantiles
 from ..sources import snapshots as Sn
 from .base import Marts, _strip, query, r
 
@@ -226,8 +227,9 @@ def pr7(t: Marts) -> DataFrame:
 
 @query(
     "pr8_features_beside_label",
-    f"""select loan_id, label, {r('credit_history_age')} as credit_history_age_x, {r('total_emi_per_month')} as total_emi_x
- from g_merged where credit_history_age is not null and total_emi_per_month is not null""",
+    f"""with m as (select median(credit_history_age) as mid_age, median(total_emi_per_month) as mid_emi from g_merged)
+ select loan_id, label, {r('coalesce(credit_history_age, mid_age)')} as credit_history_age_x, {r('coalesce(total_emi_per_month, mid_emi)')} as total_emi_x
+ from g_merged, m""",
 )
 def pr8(t: Marts) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
@@ -235,9 +237,10 @@ def pr8(t: Marts) -> DataFrame:
     from ..operators.models import assemble
 
     names = ["credit_history_age", "total_emi_per_month"]
-    rows = C.drop_null_rows(t.labelled.select("loan_id", "label", *names), names)
+    rows = t.stored(t.labelled.select("loan_id", "label", *names))
+    filled = E.fill_nulls(rows, {c: q[0.5] for c, q in exact_quantiles(rows, {c: [0.5] for c in names}).items()})
     x = vector_to_array("features")
-    return assemble(rows, names).select(
+    return assemble(filled, names).select(
         "loan_id", "label", x[0].alias("credit_history_age_x"), x[1].alias("total_emi_x")
     )
 

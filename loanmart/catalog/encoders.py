@@ -117,13 +117,13 @@ def en4(t: Marts) -> DataFrame:
 
 @query("en5_one_hot", f"select {_ID_SQL}, split, {_ONE_HOT} from g_view")
 def en5(t: Marts) -> DataFrame:
-    view = E.null_sentinels(t.split_view.select(*_ID, "split", *SPEC.one_hot), SPEC.sentinels)
+    view = E.null_sentinels(t.split_of(*SPEC.one_hot).select(*_ID, "split", *SPEC.one_hot), SPEC.sentinels)
     return E.one_hot(view, E.fit_categories(view.where("split = 'train'"), SPEC.one_hot))
 
 
 @query("en6_ordinal", f"select {_ID_SQL}, split, {_ORDINAL} from g_view")
 def en6(t: Marts) -> DataFrame:
-    view = E.null_sentinels(t.split_view.select(*_ID, "split", *SPEC.ordinal), SPEC.sentinels)
+    view = E.null_sentinels(t.split_of(*SPEC.ordinal).select(*_ID, "split", *SPEC.ordinal), SPEC.sentinels)
     return E.ordinal(view, E.fit_categories(view.where("split = 'train'"), SPEC.ordinal))
 
 
@@ -132,7 +132,7 @@ def en6(t: Marts) -> DataFrame:
     f"with {_P} select {_ID_SQL}, split, {', '.join(f'{r(f'({c} - avg_{c}) / std_{c}')} as {c}' for c in SPEC.scaled)} from g_view, p",
 )
 def en7(t: Marts) -> DataFrame:
-    view = t.split_view.select(*_ID, "split", *SPEC.scaled)
+    view = t.split_of(*SPEC.scaled).select(*_ID, "split", *SPEC.scaled)
     return E.scale(view, E.fit_scalers(view.where("split = 'train'"), SPEC.scaled))
 
 
@@ -159,8 +159,10 @@ def en8(t: Marts) -> DataFrame:
  (select f.* from g_feat f left join g_lbl l on f.customer_id = l.customer_id and f.snapshot_date = l.loan_start_date where l.loan_id is null), p""",
 )
 def en9(t: Marts) -> DataFrame:
-    fitted = E.fit_encoders(t.split_view.where("split = 'train'"))
-    encoded = fitted.transform(J.unlabelled_features(t.features, t.gold_labels))
+    features = t.stored(t.features, "features")
+    view = Sp.assign_splits(t.stored(J.labelled_features(features, t.gold_labels)), OOT_DATE, SPLIT_KEYS)
+    fitted = E.fit_encoders(view.where("split = 'train'"))
+    encoded = fitted.transform(J.unlabelled_features(features, t.gold_labels))
     keep = ("customer_id", "loan_start_date")
     others = [c for c in encoded.columns if c not in {*S.ID_COLUMNS, *SPEC.fills}]
     return encoded.select(*keep, *_as_doubles(encoded), *[F.col(f"`{c}`") for c in others])

@@ -12,30 +12,29 @@ from ..sources import raw, sinks, snapshots as Sn
 from .base import Marts, query, r
 
 
-@query(
-    "io1_csv_typed_scan",
-    f"""select loan_id, installment_num, {r('loan_amt')} as loan_amt, {r('due_amt')} as due_amt, {r('paid_amt')} as paid_amt,
- cast(snapshot_date as varchar) as snapshot_date from fx_lms""",
-)
+def _typed(columns: dict[str, str]) -> str:
+    """Select list of typed columns in the shared output form."""
+    form = {"double": lambda c: r(c), "date": lambda c: f"cast({c} as varchar)"}
+    return ", ".join(f"{form.get(kind, str)(c)} as {c}" for c, kind in columns.items())
+
+
+def _text(columns) -> str:
+    """The same for columns written to CSV and read as text: an empty text comes back as NULL."""
+    return ", ".join(f"nullif(cast({c} as varchar), '') as {c}" for c in columns)
+
+
+@query("io1_csv_typed_scan", f"select {_typed(S.LEDGER)} from fx_lms")
 def io1(t: Marts) -> DataFrame:
     path = t.scratch()
     sinks.write_csv(t.fx_lms.select(*S.LEDGER), path)
-    return raw.read_csv_typed(t.spark, path, S.LEDGER).select(
-        "loan_id", "installment_num", "loan_amt", "due_amt", "paid_amt", "snapshot_date"
-    )
+    return raw.read_csv_typed(t.spark, path, S.LEDGER)
 
 
-@query(
-    "io2_csv_text_scan",
-    """select customer_id, nullif(annual_income, '') as annual_income, num_of_delayed_payment, nullif(type_of_loan, '') as type_of_loan,
- payment_behaviour, cast(snapshot_date as varchar) as snapshot_date from fx_fin""",
-)
+@query("io2_csv_text_scan", f"select {_text(S.FINANCIALS)} from fx_fin")
 def io2(t: Marts) -> DataFrame:
     path = t.scratch()
     sinks.write_csv(t.fx_fin.select(*S.FINANCIALS), path)
-    return raw.read_csv_text(t.spark, path, S.FINANCIALS).select(
-        "customer_id", "annual_income", "num_of_delayed_payment", "type_of_loan", "payment_behaviour", "snapshot_date"
-    )
+    return raw.read_csv_text(t.spark, path, S.FINANCIALS)
 
 
 @query(
@@ -51,12 +50,15 @@ def io3(t: Marts) -> DataFrame:
     )
 
 
+_AMOUNTS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
 @query(
     "io4_parquet_scan",
-    f"select l_orderkey, l_linenumber, {r('l_extendedprice')} as l_extendedprice from lineitem where l_quantity >= 30",
+    f"""select * replace ({", ".join(f"{r(c)} as {c}" for c in _AMOUNTS)}, cast(cast(l_shipdate as date) as varchar) as l_shipdate) from lineitem""",
 )
 def io4(t: Marts) -> DataFrame:
-    return t.lineitem.where("l_quantity >= 30").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return t.lineitem.withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
 
 
 @query(
@@ -152,10 +154,11 @@ def io11(t: Marts) -> DataFrame:
 
 @query(
     "clean_clickstream",
-    "select customer_id, cast(snapshot_date as varchar) as snapshot_date, cast(trunc(try_cast(fe_1 as double)) as integer) as fe_1, cast(trunc(try_cast(fe_20 as double)) as integer) as fe_20 from fx_cs",
+    "select distinct customer_id, cast(snapshot_date as varchar) as snapshot_date, "
+    + ", ".join(f"cast(trunc(try_cast({c} as double)) as integer) as {c}" for c, kind in S.CLICKSTREAM.items() if kind == "int")
+    + " from fx_cs",
 )
 def clean_clickstream(t: Marts) -> DataFrame:
     path = t.scratch()
     sinks.write_csv(t.fx_cs.select(*S.CLICKSTREAM), path)
-    typed = C.dedup(C.clean_clickstream(raw.read_csv_text(t.spark, path, S.CLICKSTREAM)))
-    return typed.select("customer_id", "snapshot_date", "fe_1", "fe_20")
+    return C.dedup(C.clean_clickstream(raw.read_csv_text(t.spark, path, S.CLICKSTREAM)))

@@ -138,11 +138,12 @@ def jn7(t: Marts) -> DataFrame:
 
 @query(
     "so1_union_history",
-    "select customer_id, cast(snapshot_date as varchar) as snapshot_date, credit_mix from fx_fin where snapshot_date <= date '1998-06-01'",
+    "select customer_id, cast(snapshot_date as varchar) as snapshot_date, credit_mix from fx_fin",
 )
 def so1(t: Marts) -> DataFrame:
     table = t.fx_fin.select("customer_id", "snapshot_date", "credit_mix")
-    return Sn.append_month(Sn.before(table, "1998-06-01"), Sn.slice_month(table, "1998-06-01"))
+    last = str(table.agg(F.max("snapshot_date")).first()[0])
+    return Sn.append_month(Sn.before(table, last), Sn.slice_month(table, last))
 
 
 @query(
@@ -175,17 +176,10 @@ def so3(t: Marts) -> DataFrame:
 
 @query(
     "so4_order_by",
-    """select row_number() over (order by n desc, customer_id) as position, customer_id, n from
- (select customer_id, count(*) as n from fx_lms group by customer_id) order by n desc, customer_id limit 50""",
+    "select customer_id, count(*) as n from fx_lms group by customer_id order by n desc, customer_id",
 )
 def so4(t: Marts) -> DataFrame:
-    ordered = Q.top_rows(Q.value_counts(t.fx_lms, "customer_id"), "n", 50, ("customer_id",))
-    # the report has 50 rows; positions are read off the ordered list
-    listed = ordered.agg(F.collect_list(F.struct(-F.col("n"), "customer_id", "n")).alias("rows"))
-    exploded = listed.select(F.posexplode(F.array_sort("rows")).alias("at", "row"))
-    return exploded.select(
-        (F.col("at") + 1).cast("bigint").alias("position"), F.col("row.customer_id"), F.col("row.n")
-    )
+    return Q.value_counts(t.fx_lms, "customer_id").orderBy(F.col("n").desc(), "customer_id")
 
 
 @query(

@@ -195,11 +195,11 @@ def dense_psi(t: Marts) -> DataFrame:
 
 @query(
     "mo7_psi",
-    f"with {psi_sql(_long(_FEATURES[:3], 'date ' + repr(_SPLIT_DATE)))} select feature, {r('psi')} as psi from psi",
+    f"with {psi_sql(_long(_FEATURES, 'date ' + repr(_SPLIT_DATE)))} select feature, {r('psi')} as psi from psi",
 )
 def mo7(t: Marts) -> DataFrame:
     reference, current = _parts(t)
-    return D.feature_psi(current, D.fit_reference(reference, _FEATURES[:3]))
+    return D.feature_psi(current, D.fit_reference(reference, _FEATURES))
 
 
 @query(
@@ -284,12 +284,14 @@ def mo13(t: Marts) -> DataFrame:
 
 @query(
     "mo14_report_summary",
-    f"""with {_MONTHLY} select count(*) as records, {r('avg(overall_psi)')} as avg_psi, {r('max(overall_psi)')} as max_psi, {r('min(overall_psi)')} as min_psi,
+    f"""with {_MONTHLY} select (select count(*) from lineitem where l_shipdate < date '{_SPLIT_DATE}') as reference_rows, count(*) as records, {r('avg(overall_psi)')} as avg_psi, {r('max(overall_psi)')} as max_psi, {r('min(overall_psi)')} as min_psi,
  case when max(overall_psi) > 0.2 then 'Significant drift detected - consider model retraining' when max(overall_psi) > 0.1
  then 'Moderate drift - monitor closely' else 'Model is stable - continue monitoring' end as recommendation from overall""",
 )
 def mo14(t: Marts) -> DataFrame:
-    return D.report_summary(D.overall_psi(monthly_psi(t)))
+    reference, current = _parts(t)
+    psi = D.feature_psi(current, D.fit_reference(reference, _FEATURES), by=("date",))
+    return D.report_summary(D.overall_psi(psi), reference.count())
 
 
 @query(

@@ -6,9 +6,11 @@ from pyspark.sql import Column, functions as F
 
 
 def to_type(c: Column, kind: str) -> Column:
-    """Cast dirty text: unreadable values become NULL, '7.0' and '3.9' truncate to int."""
+    """Cast dirty text: unreadable values and NaN become NULL, '7.0' and '3.9' truncate to int."""
     if kind == "int":
         return c.try_cast("double").try_cast("int")
+    if kind == "double":
+        return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
     if kind == "string":
         return c.cast("string")
     return c.try_cast(kind)

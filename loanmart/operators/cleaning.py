@@ -61,12 +61,18 @@ def clean_columns(raw: DataFrame, types: dict[str, str], on_text=None, on_value=
     return df.select(*out)
 
 
-_ATTRIBUTE_TEXT = {
-    "name": (X.strip_to_null, lambda c: X.remove_pattern(c, S.QUOTE_RUN_PATTERN)),
-    "age": (X.strip_to_null,),
-    "ssn": (lambda c: X.keep_matching(c, S.SSN_PATTERN), X.fill_unknown),
-    "occupation": (X.strip_to_null, X.fill_unknown),
-}
+def _attribute_text(name: str):
+    if name in S.ATTRIBUTE_UNDERSCORE_COLUMNS:
+        yield X.strip_to_null
+    if name == "name":
+        yield lambda c: X.remove_pattern(c, S.QUOTE_RUN_PATTERN)
+    if name == "ssn":
+        yield lambda c: X.keep_matching(c, S.SSN_PATTERN)
+    if name in S.ATTRIBUTE_UNKNOWN_COLUMNS:
+        yield X.fill_unknown
+
+
+_ATTRIBUTE_TEXT = {name: tuple(_attribute_text(name)) for name in S.ATTRIBUTES}
 _ATTRIBUTE_VALUE = {"age": (lambda c: N.null_outside(c, *S.AGE_RANGE),)}
 
 

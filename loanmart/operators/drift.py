@@ -180,10 +180,11 @@ def drift_correlation(dense: DataFrame, n: int = 5) -> DataFrame:
     return scored.orderBy(F.abs("correlation").desc_nulls_last(), "feature").limit(n)
 
 
-def report_summary(overall: DataFrame) -> DataFrame:
-    """One row: average, highest and lowest overall PSI and the recommendation."""
+def report_summary(overall: DataFrame, reference_rows: int) -> DataFrame:
+    """One row: rows compared with, average, highest and lowest overall PSI and the recommendation."""
     top = F.max("overall_psi")
     return overall.agg(
+        F.lit(reference_rows).cast("long").alias("reference_rows"),
         F.count(F.lit(1)).alias("records"),
         F.avg("overall_psi").alias("avg_psi"),
         top.alias("max_psi"),

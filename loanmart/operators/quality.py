@@ -44,20 +44,6 @@ def row_count(df: DataFrame, name: str = "rows") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
-def distinct_counts(df: DataFrame, columns) -> DataFrame:
-    """One row: number of rows and of distinct values per column."""
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count_distinct(F.col(c)).alias(f"distinct_{c}") for c in columns],
-    )
-
-
-def distinct_rows_without(df: DataFrame, dropped) -> DataFrame:
-    """Number of distinct rows once the named columns are left out."""
-    kept = df.drop(*dropped)
-    return row_count(kept.distinct(), "distinct_rows")
-
-
 def value_counts(df: DataFrame, key: str, name: str = "n") -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
@@ -77,6 +63,16 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(order, F.col(key)).limit(n)
 
 
+def text_profile(df: DataFrame, columns) -> DataFrame:
+    """(column, n, min, max) of text columns, in one aggregate."""
+    columns = list(columns)
+    row = df.agg(
+        *[fn(F.col(c).cast("string")).alias(f"{name}_{c}") for c in columns for name, fn in (("n", F.count), ("min", F.min), ("max", F.max))]
+    ).first()
+    rows = [(c, row[f"n_{c}"], row[f"min_{c}"], row[f"max_{c}"]) for c in columns]
+    return df.sparkSession.createDataFrame(rows, "column string, n bigint, min string, max string")
+
+
 def profile(df: DataFrame, columns) -> DataFrame:
     """(column, n, mean, stddev, min, q25, q50, q75, max) with exact quartiles."""
     columns = list(columns)

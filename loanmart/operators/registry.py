@@ -7,15 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-REGISTER_SCHEMA = (
-    "run_date date, model_type string, label_version string, model_params string, "
-    "train_x_path string, train_y_path string, val_x_path string, val_y_path string, "
-    "test_x_path string, test_y_path string, oot_x_path string, oot_y_path string, "
-    "train_recall double, train_f1 double, train_gini double, "
-    "test_recall double, test_f1 double, test_gini double, "
-    "oot_recall double, oot_f1 double, oot_gini double"
-)
-
 
 @dataclass(frozen=True)
 class Deployment:

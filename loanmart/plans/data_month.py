@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas as S
-from ..operators import cleaning as C, features as Fe, labels as L, ledger as Lg
+from ..operators import cleaning as C, features as Fe, labels as L, ledger as Lg, quality as Q
 from ..schemas import raw_struct
-from ..sources import raw, snapshots as Sn
+from ..sources import raw, sinks, snapshots as Sn
+from ..functions.dates import is_first_of_month
 from .mart import RAW_TABLES, Mart
 
 CLEANERS = {
@@ -42,12 +43,20 @@ def label_schema(spark: SparkSession) -> T.StructType:
     return _schema_of(L.default_labels(spark.createDataFrame([], clean_schema(spark, "ledger"))))
 
 
-def ingest(spark: SparkSession, mart: Mart, files: dict[str, str], month: str | None = None) -> None:
-    """Store raw rows by month as text; one month or a backfill of all of them."""
+def ingest(spark: SparkSession, mart: Mart, files: dict[str, str], month: str | None = None) -> dict[str, int]:
+    """Store raw rows by month as text; one month or a backfill of all of them.
+
+    Rows whose month can't be read belong to no month: they go to the table's rejects, as they
+    came, and their number is returned per table.
+    """
+    rejected = {}
     for table, path in files.items():
-        df = raw.read_csv_text(spark, path, RAW_TABLES[table])
-        df = df.withColumn(Sn.PARTITION, F.col(Sn.PARTITION).try_cast("date"))
-        Sn.write_snapshots(df, mart.raw_snapshots(table), month)
+        text = raw.read_csv_text(spark, path, RAW_TABLES[table])
+        month_of = F.col(Sn.PARTITION).try_cast("date")
+        Sn.write_snapshots(text.where(month_of.isNotNull()).withColumn(Sn.PARTITION, month_of), mart.raw_snapshots(table), month)
+        sinks.write_parquet(text.where(month_of.isNull()), mart.rejects(table))
+        rejected[table] = spark.read.parquet(mart.rejects(table)).count()
+    return rejected
 
 
 def clean(spark: SparkSession, mart: Mart, month: str | None = None) -> None:
@@ -61,6 +70,24 @@ def clean(spark: SparkSession, mart: Mart, month: str | None = None) -> None:
         if month is not None:
             df = Sn.slice_month(df, month)
         Sn.write_snapshots(cleaner(df), mart.clean(table), month)
+        _audit(spark, mart, table, df, month)
+
+
+def _audit(spark: SparkSession, mart: Mart, table: str, raw_rows: DataFrame, month: str | None) -> None:
+    """One record per table and month: copies removed, dates off the first of a month, NULLs per column."""
+    rows = Sn.read_snapshots(spark, mart.clean(table), clean_schema(spark, table))
+    if month is not None:
+        rows = Sn.slice_month(rows, month)
+    names = [c for c in rows.columns if c != Sn.PARTITION]
+    nulls = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.count_if(F.col(c).isNull()) for c in names]))
+    after = rows.groupBy(Sn.PARTITION).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(~is_first_of_month(F.col(Sn.PARTITION))).alias("off_calendar"), nulls.alias("nulls")
+    )
+    before = raw_rows.groupBy(Sn.PARTITION).agg(F.count(F.lit(1)).alias("raw_rows"))
+    record = after.join(before, Sn.PARTITION).select(
+        Sn.PARTITION, "raw_rows", "rows", (F.col("raw_rows") - F.col("rows")).alias("copies"), "off_calendar", "nulls"
+    )
+    sinks.write_records(record, mart.audit(table), (Sn.PARTITION,))
 
 
 def cleaned(spark: SparkSession, mart: Mart, table: str, as_of: str) -> DataFrame:

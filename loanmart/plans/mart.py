@@ -24,6 +24,15 @@ class Mart:
     def clean(self, table: str) -> str:
         return f"{self.root}/clean/{table}"
 
+    def rejects(self, table: str) -> str:
+        return f"{self.root}/rejects/{table}"
+
+    def audit(self, table: str) -> str:
+        return f"{self.root}/audits/{table}"
+
+    def export(self, record: str) -> str:
+        return f"{self.root}/exports/{record}"
+
     @property
     def labels(self) -> str:
         return f"{self.root}/gold/labels"

@@ -15,19 +15,20 @@ LOADERS = {
     M.BOOSTED: GBTClassificationModel,
     M.SVM: LinearSVCModel,
 }
+PREDICTIONS = "customer_id string, loan_start_date date, prediction int"
 MODEL_KINDS = {"lr_clf": M.LOGISTIC, "xgb_clf": M.BOOSTED, "svm_clf": M.SVM}
 
 
 def score_month(
     spark: SparkSession, mart: Mart, run_date: str, deployments=R.DEPLOYMENTS
-) -> DataFrame | None:
-    """Predictions of a run, written to the outbox; None before the first deployment.
+) -> DataFrame:
+    """Predictions of a run, written to the outbox; none before the first deployment.
 
     The encoders are those stored with the active model, not the current month's.
     """
     active = R.model_on(run_date, deployments)
     if active is None:
-        return None
+        return spark.createDataFrame([], PREDICTIONS)
     kind = MODEL_KINDS[active.model]
     encoders = load_encoders(spark, mart, active.effective_date)
     trained_on = spark.read.parquet(mart.encoded("view", active.effective_date))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import encoders as E, joins as J, models as M, registry as R, scoring as Sc, splits as Sp
 from ..operators.labels import label_definition
-from ..sources.sinks import write_parquet, write_records
+from ..sources.sinks import export_records, write_parquet, write_records
 from .data_month import gold
 from .mart import Mart
 
@@ -87,4 +87,5 @@ def train(
         evaluation,
     )
     write_records(row, mart.register, ("run_date", "model_type"))
+    export_records(spark, mart.register, mart.export("register"), sep="|", order=("run_date", "model_type"))
     return Trained(search, columns, evaluation)

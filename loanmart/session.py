@@ -23,6 +23,13 @@ CLUSTER_CONF = {
 }
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Give a caller's session the settings the jobs are written for."""
+    for key, value in CLUSTER_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = 8, app: str = "loanmart") -> SparkSession:
     """A local[*] session for tests and the bench."""
     return (

@@ -26,12 +26,6 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def register_views(tables: dict[str, DataFrame]) -> None:
-    """Name the frames for spark.sql within this session."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-
-
 def register_global_views(tables: dict[str, DataFrame]) -> None:
     """Name the frames for every session of the application (``global_temp.<name>``)."""
     for name, df in tables.items():

@@ -3,8 +3,9 @@
 from datetime import date
 
 import pytest
-from loanmart import schemas as S
+from loanmart import schemas as S, scratch
 from loanmart.fixtures import Tables
+from loanmart.functions import numbers as N
 from loanmart.operators import models as M, registry as R
 from loanmart.plans import data_month as Dm, monitoring_month as Mm, scoring_month as Sm, training_month as Tm
 from loanmart.plans.mart import Mart
@@ -79,11 +80,42 @@ def test_training_and_register(spark, trained):
     evaluation = {r["split"]: r for r in result.evaluation.collect()}
     assert row["train_recall"] == pytest.approx(evaluation["train"]["recall"])
     assert row["oot_gini"] == pytest.approx(evaluation["oot"]["gini"])
+    exported = spark.read.option("header", True).option("sep", "|").csv(mart.export("register"))
+    assert exported.count() == 1 and "model_params" in exported.columns
+
+
+def test_audits_and_rejects(spark, files, whole, folder):
+    audit = {r["snapshot_date"]: r for r in spark.read.parquet(whole.audit("financials")).collect()}
+    table = spark.read.parquet(whole.clean("financials"))
+    assert sum(r["rows"] for r in audit.values()) == table.count()
+    assert sum(r["raw_rows"] for r in audit.values()) == spark.read.parquet(whole.raw_snapshots("financials")).count()
+    assert all(r["copies"] >= 0 and r["off_calendar"] == 0 for r in audit.values())
+    assert sum(r["nulls"]["annual_income"] for r in audit.values()) == table.where("annual_income is null").count()
+    odd = Mart(f"{folder}/odd")
+    text = raw.read_csv_text(spark, files["ledger"], S.LEDGER)
+    sinks.write_csv(text.limit(50).withColumn("snapshot_date", F.lit("no month")).unionByName(text.limit(70)), f"{folder}/ledger")
+    assert Dm.ingest(spark, odd, {"ledger": f"{folder}/ledger"}) == {"ledger": 50}
+    assert spark.read.parquet(odd.rejects("ledger")).where("snapshot_date = 'no month'").count() == 50
+    assert spark.read.parquet(odd.raw_snapshots("ledger")).count() == 70
+
+
+def test_nothing_is_left_after_clearing(spark):
+    jvm = spark.sparkContext._jvm
+    scratch.stored(spark.range(3))
+    folder = jvm.org.apache.hadoop.fs.Path(scratch.scratch_folder(spark))
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert store.exists(folder) and scratch.clear(spark) and not store.exists(folder)
+
+
+def test_a_nan_is_no_value(spark):
+    df = spark.createDataFrame([("1.5",), ("NaN",), ("x",), (None,)], "a string")
+    assert [r["a"] for r in df.select(N.to_type(F.col("a"), "double").alias("a")).collect()] == [1.5, None, None, None]
 
 
 def test_scoring_and_monitoring(spark, trained):
     mart, deployments, _ = trained
-    assert Sm.score_month(spark, mart, "1999-12-01", deployments) is None
+    assert Sm.score_month(spark, mart, "1999-12-01", deployments).count() == 0
+    assert Mm.monitor_feature_drift(spark, mart, "1999-12-01", [], deployments)["psi"].count() == 0
     for run in ("2000-01-01", "2000-02-01"):
         predictions = Sm.score_month(spark, mart, run, deployments)
         assert predictions.count() == spark.read.parquet(mart.inference(run)).count() > 0
@@ -92,12 +124,18 @@ def test_scoring_and_monitoring(spark, trained):
         rates = Mm.monitor_rates(spark, mart, run)
     rates = Mm.monitor_rates(spark, mart, "2000-02-01")  # again: still one record per run
     assert rates.count() == 2
-    assert Mm.monitor_concept_drift(spark, mart, "2000-01-01", deployments) is None
+    none = Mm.monitor_concept_drift(spark, mart, "2000-01-01", deployments)
+    assert none.count() == 0
     drift = Mm.monitor_concept_drift(spark, mart, "2000-02-01", deployments)
     assert [r["active_model"] for r in drift.collect()] == ["lr_clf"]
+    assert {"recall_below", "f1_below", "gini_below"} <= set(drift.columns) and set(none.columns) == set(drift.columns)
+    for record, n in (("result_rates", 2), ("concept_drift", 1)):
+        assert raw.read_csv_header(spark, mart.export(record)).count() == n
     tables = Mm.monitor_feature_drift(spark, mart, "2000-02-01", ["2000-01-01", "2000-02-01"], deployments)
     assert tables["overall"].count() == 2
     assert tables["summary"].first()["records"] == 2
+    view = Tm.split_view(spark, mart, "2000-01-01")
+    assert tables["summary"].first()["reference_rows"] == view.where("split in ('train', 'valid')").count()
     assert tables["average_by_feature"].count() >= 30
     assert Mm.previous_run("2024-01-01") == "2023-12-01" and Mm.previous_run("2024-12-01") == "2024-11-01"
 
