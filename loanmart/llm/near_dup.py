@@ -3,14 +3,15 @@
 Signatures.  Every element of a text (a five-word shingle, with weight 1 or its count) owns a
 region of width weight.  Darts fall on the region at hashed places, ranks and coordinates, one per unit
 of area; the darts a text gets are those on its own regions up to a rank at which all coordinates
-are likely hit (texts with a coordinate left throw on to twice the rank).  The earliest dart per
+are likely hit (a text with a coordinate left throws on to twice the rank).  The earliest dart per
 coordinate is the signature, and two texts agree on a coordinate with the chance of their
 weighted Jaccard similarity.  A text of n elements costs O(n + t log t).
 
 Join.  Texts equal word by word collapse to classes first.  Classes that agree on a band meet: each
-member of a bucket is verified against the bucket's smallest member, and where a bucket still spans
-several components, the members outside the main one against all members of other components; pairs
-already connected need no look.  Verification compares whole shingle sets.  So no link between
+member of a bucket is verified against the bucket's smallest member.  Where a bucket still spans several
+components, it gets further leaders for some rounds, first those with most links, and in the end the members outside its main
+component are compared with all members of other components inside a join that gives out links only.  Pairs already connected
+need no look.  Verification compares whole shingle sets.  So no link between
 components is lost, and no group is gathered or expanded into all its pairs.
 
 Defined cases: null texts and texts without words link with nothing; a text of fewer than five
@@ -36,28 +37,32 @@ ROWS, BANDS = 5, 22
 ESTIMATE_SLACK = 0.17
 WIDTH = 5
 _POISSON = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
-_CELLS = 1 << 20
+PAIRS = 1 << 20  # darts in memory at a time
+ROUNDS = 2  # of one more leader per bucket, before all pairs that are left
 
 
 def _salt(k: int) -> np.uint64:
     return np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
 
 
-def _throw(elements, owner, weights, cell, t: int):
-    """Darts of elements on one unit cell of rank: (row, coordinate, place in time and identity)."""
-    seed = mix64(elements ^ _salt(cell))
-    n = np.searchsorted(_POISSON, (seed >> np.uint64(11)).astype(np.float64) / (1 << 53), side="right")
-    most = int(n.max(initial=0))
-    for k in range(most):
-        on = np.flatnonzero(n > k)
-        dart = mix64(seed[on] + _salt(k + 1000))
-        if weights is not None:
-            inside = (mix64(dart + _salt(7)) >> np.uint64(11)).astype(np.float64) / (1 << 53) < weights[on]
-            on, dart = on[inside], dart[inside]
-        coordinate = ((dart & np.uint64(0xFFFFFF)) * np.uint64(t)) >> np.uint64(24)
-        # rank within the cell above, the dart's own number below
-        time = (np.uint64(cell) << np.uint64(48)) | (dart >> np.uint64(16))
-        yield owner[on] * t + coordinate.astype(np.int64), time
+def _darts(elements: np.ndarray, cells: np.ndarray, covered: np.ndarray | None):
+    """Darts on unit cells of (element, rank): (index of the element, hash, cell).
+
+    Whole regions get one dart per cell: all elements then throw alike, and each is earliest with the
+    same chance.  Where ``covered`` says that regions are covered in part, numbers are Poisson, and darts
+    that miss the covered part are dropped.
+    """
+    at = np.repeat(np.arange(len(elements)), cells)
+    cell = (np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells)).astype(np.uint64)
+    dart = mix64(elements[at] ^ ((cell + np.uint64(1)) * _salt(0)))
+    if covered is not None:
+        n = np.searchsorted(_POISSON, (dart >> np.uint64(11)).astype(np.float64) / (1 << 53), side="right")
+        again = np.repeat(np.arange(len(at)), n)
+        turn = (np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+        at, cell, dart = at[again], cell[again], mix64(dart[again] + (turn + np.uint64(1)) * _salt(1))
+        inside = (mix64(dart + _salt(7)) >> np.uint64(11)).astype(np.float64) / (1 << 53) < covered[at]
+        at, cell, dart = at[inside], cell[inside], dart[inside]
+    return at, dart, cell
 
 
 def signatures(elements: np.ndarray, owner: np.ndarray, rows: int, t: int, weights: np.ndarray | None = None) -> np.ndarray:
@@ -65,32 +70,43 @@ def signatures(elements: np.ndarray, owner: np.ndarray, rows: int, t: int, weigh
 
     ``weights`` are positive reals; without them all are 1.
     """
+    covered = None
     if weights is not None:
-        # a region wider than one falls into unit cells; the last may be covered in part
+        # a region wider than one falls into units of width one; the last may be covered in part
         units = np.ceil(weights).astype(np.int64)
         at = np.arange(units.sum()) - np.repeat(np.cumsum(units) - units, units)
         elements = mix64(np.repeat(elements, units) + at.astype(np.uint64) * _salt(3))
-        weights, owner = np.repeat(weights, units) - at, np.repeat(owner, units)
+        owner, covered = np.repeat(owner, units), np.repeat(weights, units) - at
+        if (covered >= 1).all():
+            covered = None
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     first = np.full(rows * t, none, dtype=np.uint64)
-    total = np.bincount(owner, weights, minlength=rows)
-    wanted = t * (np.log(t) + 3)
-    up_to = np.where(total > 0, np.ceil(wanted / np.maximum(total, 1e-9)), 0).astype(np.int64)
-    done = np.zeros(rows, dtype=np.int64)
-    while True:
-        for cell in range(int(done.min(initial=0)), int(up_to.max(initial=0))):
-            use = (done <= cell) & (cell < up_to)
-            if not use.any():
-                continue
-            some = use[owner]
-            picked = (elements, owner, weights) if some.all() else (elements[some], owner[some], None if weights is None else weights[some])
-            for at, time in _throw(*picked, cell, t):
-                np.minimum.at(first, at, time)
-        done = up_to.copy()
-        empty = (first.reshape(rows, t) == none).any(axis=1) & (total > 0)
-        if not empty.any():
-            break
-        up_to = np.where(empty, up_to * 2, up_to)
+    total = np.bincount(owner, covered, minlength=rows)
+    up_to = np.where(total > 0, t * (np.log(t) + 3) / np.maximum(total, 1e-9), 0)
+    todo = np.arange(rows)
+    while len(todo):
+        if len(todo) < rows:
+            use = np.isin(owner, todo)
+            some, of, part = elements[use], owner[use], None if covered is None else covered[use]
+        else:
+            some, of, part = elements, owner, covered
+        cells = np.ceil(up_to)[of].astype(np.int64)
+        ends = np.cumsum(cells)
+        lo = 0
+        while lo < len(some):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+            here = slice(lo, hi)
+            at, dart, cell = _darts(some[here], cells[here], None if part is None else part[here])
+            # rank: the cell, then the dart's upper bits; a text that needs no whole cell stops within it
+            time = (cell << np.uint64(48)) | (dart >> np.uint64(16))
+            row = of[here][at]
+            early = time < (up_to * 2.0**48).astype(np.uint64)[row]
+            row, time, dart = row[early], time[early], dart[early]
+            coordinate = ((dart & np.uint64(0xFFFFFF)) * np.uint64(t)) >> np.uint64(24)
+            np.minimum.at(first, row * t + coordinate.astype(np.int64), time)
+            lo = hi
+        todo = np.flatnonzero((first.reshape(rows, t) == none).any(axis=1) & (total > 0))
+        up_to[todo] *= 2
     first[first == none] = np.uint64(0)
     return mix64(first).reshape(rows, t).astype(np.uint32).view(np.int32)
 
@@ -207,34 +223,46 @@ def _estimate(a: Column, b: Column) -> Column:
 
 
 class _Verifier:
-    """Checks pairs of classes on their whole shingle sets."""
+    """Checks pairs of classes on their whole shingle sets; the sets are made once."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, doc_id: str, text: str, weighted: bool, similarity: float):
-        self.classes, self.weighted, self.similarity = classes, weighted, similarity
-        self.docs = docs.select(
+    def __init__(self, docs: DataFrame, classes: DataFrame, met: DataFrame, doc_id: str, text: str, weighted: bool, similarity: float):
+        self.similarity = similarity
+        self.signed = classes.select("uid", "signature")
+        named = docs.select(
             F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text")
-        )
+        ).alias("d")
+        ends = classes.select("uid", "doc_id", "text_hash").join(met.select("uid").distinct(), "uid", "left_semi").alias("n")
+        same = (F.col("d.text_hash") == F.col("n.text_hash")) & F.col("d.doc_id").eqNullSafe(F.col("n.doc_id"))
+        held = named.join(ends, same).select("uid", "text").mapInArrow(_sets(weighted), "uid long, held array<long>")
+        self.held = stored(held, "sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b) those that reach the similarity."""
-        signed = self.classes.select("uid", "signature")
-        near = pairs.join(signed.withColumnsRenamed({"uid": "a", "signature": "sa"}), "a")
-        near = near.join(signed.withColumnsRenamed({"uid": "b", "signature": "sb"}), "b")
-        near = stored(near.where(_estimate(F.col("sa"), F.col("sb")) >= self.similarity - ESTIMATE_SLACK).select("a", "b"), "pairs")
-        ends = near.select(F.col("a").alias("uid")).union(near.select(F.col("b").alias("uid"))).distinct()
-        named = self.classes.select("uid", "doc_id", "text_hash").join(ends, "uid", "left_semi").alias("n")
-        d = self.docs.alias("d")
-        # a null id can't be joined on; hashes alone then bring in the text
-        same = (F.col("d.text_hash") == F.col("n.text_hash")) & F.col("d.doc_id").eqNullSafe(F.col("n.doc_id"))
-        held = d.join(named, same).select("uid", "text").mapInArrow(_sets(self.weighted), "uid long, held array<long>")
-        held = stored(held, "sets")
-        both = near.join(held.withColumnsRenamed({"uid": "a", "held": "ha"}), "a")
-        both = both.join(held.withColumnsRenamed({"uid": "b", "held": "hb"}), "b")
+        near = pairs.join(self.signed.withColumnsRenamed({"uid": "a", "signature": "sa"}), "a")
+        near = near.join(self.signed.withColumnsRenamed({"uid": "b", "signature": "sb"}), "b")
+        near = near.where(self.close(F.col("sa"), F.col("sb"))).select("a", "b")
+        return self.exact(near)
+
+    def close(self, a: Column, b: Column) -> Column:
+        return _estimate(a, b) >= self.similarity - ESTIMATE_SLACK
+
+    def exact(self, near: DataFrame) -> DataFrame:
+        near = stored(near, "pairs")
+        both = near.join(self.held.withColumnsRenamed({"uid": "a", "held": "ha"}), "a")
+        both = both.join(self.held.withColumnsRenamed({"uid": "b", "held": "hb"}), "b")
         shared = F.size(F.array_intersect("ha", "hb"))
         union = F.size("ha") + F.size("hb") - shared
         return stored(both.where(shared >= F.lit(self.similarity) * union).select("a", "b").distinct(), "links")
 
 
+def _mixed(met: DataFrame, links: DataFrame) -> DataFrame:
+    """(band, uid, root, low) of the buckets that span several components."""
+    label = components(links).withColumnRenamed("node", "uid")
+    met = met.select("band", "uid").join(label, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    spans = met.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return stored(met.join(spans.drop("high"), "band"), "mixed")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id="doc_id", text="text", similarity: float = SIMILARITY, weighted: bool = False,
     rows: int = ROWS, bands: int = BANDS,
@@ -248,22 +276,43 @@ def near_duplicates(
     band = stored(_bands(classes, rows, bands), "bands")
     leaders = band.groupBy("band").agg(F.min("uid").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = stored(band.join(leaders, "band"), "met")
-    verifier = _Verifier(docs, classes, doc_id, text, weighted, similarity)
-    first = met.where("uid <> leader").select(F.col("uid").alias("a"), F.col("leader").alias("b")).distinct()
-    links = verifier.links(first)
+    verifier = _Verifier(docs, classes, met, doc_id, text, weighted, similarity)
+    links = verifier.links(met.where("uid <> leader").select(F.col("uid").alias("a"), F.col("leader").alias("b")).distinct())
+    mixed = _mixed(met, links)
+    left = mixed.where("root <> low").count()
+    for turn in range(ROUNDS):
+        if not left:
+            break
+        # one more leader per bucket: a text in the middle of a group, known by its many links; else any
+        ends = links.select(F.col("a").alias("uid")).union(links.select(F.col("b").alias("uid")))
+        degree = ends.groupBy("uid").agg(F.count(F.lit(1)).alias("degree"))
+        known = mixed.join(degree, "uid", "left").withColumn("degree", F.coalesce("degree", F.lit(0)) if turn % 2 == 0 else F.lit(0))
+        chosen = F.max(F.struct("degree", F.xxhash64("uid", F.lit(turn)).alias("h"), "uid", "root"))
+        led = known.groupBy("band").agg(chosen.alias("l")).select("band", F.col("l.uid").alias("b"), F.col("l.root").alias("rb"))
+        pairs = mixed.join(led, "band").where("root <> rb").select(F.col("uid").alias("a"), "b").distinct()
+        more = verifier.links(pairs)
+        if more.isEmpty():
+            break
+        links = stored(links.unionByName(more).distinct(), "links")
+        mixed = _mixed(met, links)
+        left = mixed.where("root <> low").count()
+    if left:
+        # what leaders don't settle: every pair across components, compared inside the join, which
+        # gives out links only; sets of 32-bit hashes do there, the exact check follows
+        short = F.transform("held", lambda x: F.shiftrightunsigned(x, 33).cast("int")).alias("h")
+        listed = mixed.join(verifier.held.select("uid", short), "uid")
+        aside = listed.where("root <> low").select("band", F.col("uid").alias("a"), F.col("root").alias("ra"), F.col("h").alias("ha"))
+        others = listed.select("band", F.col("uid").alias("b"), F.col("root").alias("rb"), "low", F.col("h").alias("hb"))
+        # of two outside the main component one order is enough
+        once = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("low")) | (F.col("a") < F.col("b")))
+        least = similarity - 0.005
+        both = F.size("ha") + F.size("hb")
+        sizes = F.least(F.size("ha"), F.size("hb")) >= F.lit(least) * F.greatest(F.size("ha"), F.size("hb"))
+        near = F.size(F.array_intersect("ha", "hb")) * F.lit(1 + least) >= F.lit(least) * both
+        across = aside.join(others, (aside["band"] == others["band"]) & once & sizes & near)
+        more = verifier.exact(across.select("a", "b").distinct())
+        links = links.unionByName(more)
     grouped = stored(components(links), "components")
-    # buckets that span several components: every pair across components not looked at so far
-    label = grouped.withColumnRenamed("node", "uid")
-    met = met.join(label, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    main = met.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    mixed = stored(met.join(main, "band").select("band", "uid", "root", "leader", "low"), "mixed")
-    aside = mixed.where("root <> low").select("band", F.col("uid").alias("a"), F.col("root").alias("ra"), F.col("leader").alias("la"))
-    others = mixed.select("band", F.col("uid").alias("b"), F.col("root").alias("rb"))
-    # pairs with the bucket's leader are settled
-    across = aside.join(others, "band").where("ra <> rb and a <> la and b <> la")
-    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = verifier.links(across)
-    grouped = stored(components(links.unionByName(more)), "components")
     label = grouped.select(F.col("node").alias("rep"), "root")
     rooted = members.join(label, "rep", "left").select("uid", F.coalesce("root", "rep").alias("root"))
     full = stored(rows_.select("uid", "doc_id", "text_hash").join(rooted, "uid", "left").withColumn("root", F.coalesce("root", "uid")), "rooted")
