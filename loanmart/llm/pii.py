@@ -150,7 +150,9 @@ def _labelled(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     sure = found.where("kind is not null").withColumn("label", label).where("label is not null")
     sure = sure.orderBy(order, "uid", "start").limit(SAMPLE).select("hit", "before", "label")
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    some = docs.select(t.alias("text")).orderBy(F.xxhash64("text"), "text").limit(WORD_TEXTS)
+    # the texts are drawn by their hashes alone; the drawn hashes are few
+    drawn = docs.select(F.xxhash64(t).alias("h")).distinct().orderBy("h").limit(WORD_TEXTS)
+    some = docs.select(t.alias("text"), F.xxhash64(t).alias("h")).join(F.broadcast(drawn), "h", "left_semi")
     words = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]{9,}\b"), F.lit(0))).alias("hit"))
     words = words.distinct().orderBy(F.xxhash64("hit"), "hit").limit(SAMPLE // 4)
     plain = words.select("hit", F.lit("").alias("before"), F.lit(0.0).alias("label"))
