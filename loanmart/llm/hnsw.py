@@ -4,8 +4,9 @@ Equal vectors collapse to one first.  The rest is dealt over shards by hash; eac
 hierarchical navigable small-world graph, and every vector queries every shard.  A beam that
 comes back full of hits is widened and run again, so a query finds all its links, not the best
 few; how wide beams start is settled by audits, which compare sampled queries with all
-vectors by brute force, inside each shard and over all of them.  Cosines are verified in
-double precision.  A shard tells for a query how many vectors link to it, and one member of each
+vectors by brute force, inside each shard and over all of them.  Every sampled vector counts alike,
+however many links or copies it has, and vectors of few links must be found as well as those of many.
+Cosines are verified in double precision.  A shard tells for a query how many vectors link to it, and one member of each
 of its own components they fall in; these edges carry all connectivity, and their components
 are found by Spark.  No pair list of a group is ever made.
 
@@ -106,6 +107,24 @@ def _select(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, m: int) -> np.ndar
     return np.pad(out, ((0, 0), (0, m - out.shape[1])), constant_values=-1).astype(np.int32)
 
 
+def _links(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each query links to each vector, by brute force; at the very limit by the sum that ``hits`` takes."""
+    sims = q @ x.T
+    near = sims >= COSINE
+    i, j = np.nonzero(np.abs(sims - COSINE) < 1e-9)
+    for a in range(0, len(i), 1 << 16):
+        qi, nj = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
+        near[qi, nj] = np.einsum("ij,ij->i", q[qi], x[nj]) >= COSINE
+    return near
+
+
+def lowest_recall(want: np.ndarray, got: np.ndarray) -> float:
+    """Vectors are grouped by the power of two of their links; the lowest mean of their recalls."""
+    some = want > 0
+    share, band = got[some] / want[some], np.floor(np.log2(want[some]))
+    return min((float(share[band == b].mean()) for b in np.unique(band)), default=1.0)
+
+
 @dataclass
 class Graph:
     """One shard: normalised vectors, their ids and weights, links per layer (layer 0 first), own components."""
@@ -211,11 +230,16 @@ class Graph:
 
     def settle(self) -> None:
         """Widen the first beam until sampled members find what brute force finds; join own components."""
-        sample = self.x[:: max(1, len(self.x) // 64)][:64]
-        want = int((sample @ self.x.T >= COSINE).sum())
+        own = np.arange(0, len(self.x), max(1, len(self.x) // 64))[:64]
+        sample = self.x[own]
+        near = _links(sample, self.x)
+        near[np.arange(len(own)), own] = False
+        want = near.sum(axis=1)
         while self.beam < len(self.x):
-            got = sum(len(i) for i, _ in self.hits(sample, self.beam))
-            if got >= RECALL * want:
+            got = np.zeros(len(own), dtype=np.int64)
+            for i, j in self.hits(sample, self.beam):
+                got += np.bincount(i[j != own[i]], minlength=len(own))
+            if lowest_recall(want, got) >= RECALL:
                 break
             self.beam *= 2
         parent = np.arange(len(self.x))
@@ -279,7 +303,7 @@ def _search(folder: str, factor: int):
                     found = pq.read_table(f"{base}/part={shard}", filesystem=fs, columns=["graph"])
                     held, graph = shard, Graph.load(found.column("graph")[0].as_py())
                 q, own = _unit(rows["vector"]), rows["uid"].to_numpy()
-                links = np.zeros(len(rows), dtype=np.int64)
+                links, near = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
                 order = np.argsort(graph.uid)
                 at = order[np.minimum(np.searchsorted(graph.uid[order], own), len(order) - 1)]
                 here = np.flatnonzero(graph.uid[at] == own)
@@ -288,28 +312,29 @@ def _search(folder: str, factor: int):
                     other = graph.uid[j] != own[i]
                     i, j = i[other], j[other]
                     np.add.at(links, i, graph.weight[j])
+                    near += np.bincount(i, minlength=len(rows))
                     roots.append(np.unique(np.stack([i, graph.root[j]], axis=1), axis=0))
                 pairs = np.unique(np.concatenate(roots), axis=0)
                 ends = np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1))
                 lists = [pairs[a:b, 1].tolist() for a, b in zip(ends[:-1], ends[1:])]
-                out = pd.DataFrame({"uid": own, "links": links, "roots": lists})
+                out = pd.DataFrame({"uid": own, "links": links, "near": near, "roots": lists})
                 yield out[out["links"] > 0]
 
     return run
 
 
 def _ask(vectors: DataFrame, shards: int, folder: str, factor: int, blocks: int) -> DataFrame:
-    """Every vector asks every shard of its length: (uid, links, roots)."""
+    """Every vector asks every shard of its length: (uid, links, near, roots); ``near`` leaves copies out."""
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     asked = vectors.select("uid", "vector", (F.size("vector") * shards).alias("from"), every.alias("k"))
     asked = asked.select("uid", "vector", (F.col("from") + F.col("k")).alias("to"), F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"))
     asked = asked.repartition(shards * blocks, "to", "block").sortWithinPartitions("to")
-    return asked.drop("block").mapInPandas(_search(folder, factor), "uid long, links long, roots array<long>")
+    return asked.drop("block").mapInPandas(_search(folder, factor), "uid long, links long, near long, roots array<long>")
 
 
 def _truth(vectors: DataFrame, audited: DataFrame) -> dict[int, int]:
-    """Links of each audited vector, by looking at all vectors; the audited ones are few."""
-    asked = audited.select("uid", "vector", "copies").toPandas()
+    """Other vectors each audited one links to, by looking at all of them; the audited ones are few."""
+    asked = audited.select("uid", "vector").toPandas()
     by_size = {k: g for k, g in asked.groupby(asked["vector"].map(len))}
     packed = {k: (g["uid"].to_numpy(), _unit(g["vector"])) for k, g in by_size.items()}
 
@@ -318,12 +343,11 @@ def _truth(vectors: DataFrame, audited: DataFrame) -> dict[int, int]:
             for size, rows in batch.groupby(batch["vector"].map(len)):
                 if size in packed:
                     ids, q = packed[size]
-                    n = ((_unit(rows["vector"]) @ q.T >= COSINE) * rows["copies"].to_numpy()[:, None]).sum(axis=0)
-                    yield pd.DataFrame({"uid": ids, "n": n})
+                    near = _links(q, _unit(rows["vector"])) & (ids[:, None] != rows["uid"].to_numpy())
+                    yield pd.DataFrame({"uid": ids, "n": near.sum(axis=1)})
 
-    found = vectors.select("vector", "copies").mapInPandas(look, "uid long, n long").groupBy("uid").agg(F.sum("n").alias("n"))
-    itself = dict(zip(asked["uid"], asked["copies"]))
-    return {r["uid"]: r["n"] - itself[r["uid"]] for r in found.collect()}
+    found = vectors.select("uid", "vector").mapInPandas(look, "uid long, n long").groupBy("uid").agg(F.sum("n").alias("n"))
+    return {r["uid"]: r["n"] for r in found.collect()}
 
 
 def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -343,10 +367,11 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     folder = qualified(spark, folder)
     audited = stored(vectors.orderBy(F.xxhash64("uid", F.lit(1)), "uid").limit(AUDITED), "audited")
     truth, factor = _truth(vectors, audited), 1
+    want = np.array(list(truth.values()))
     while truth:
-        found = _ask(audited, shards, folder, factor, 1).groupBy("uid").agg(F.sum("links").alias("n"))
-        got = sum(r["n"] for r in found.collect())
-        if got >= RECALL * sum(truth.values()) or factor * BEAM >= SHARD_ROWS:
+        found = _ask(audited, shards, folder, factor, 1).groupBy("uid").agg(F.sum("near").alias("n"))
+        got = {r["uid"]: r["n"] for r in found.collect()}
+        if lowest_recall(want, np.array([got.get(uid, 0) for uid in truth])) >= RECALL or factor * BEAM >= SHARD_ROWS:
             break
         factor *= 2
     asked = stored(_ask(vectors, shards, folder, factor, max(1, -(-n // QUERY_ROWS))), "asked")

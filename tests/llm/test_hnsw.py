@@ -69,6 +69,32 @@ def test_recall_of_one_graph():
     assert len(set(graph.root)) == len(set(_components(x)))
 
 
+def test_a_hot_group_does_not_hide_missed_pairs():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 24))
+    x[:400] = x[0] + rng.normal(size=(400, 24)) * 0.05
+    x[800:] = x[400:800] + rng.normal(size=(400, 24)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    class Narrow(hnsw.Graph):
+        def hits(self, q, beam):
+            # narrow beams lose all links of pairs
+            for i, j in super().hits(q, beam):
+                yield (i, j) if beam >= 100 else (i[self.uid[j] < 400], j[self.uid[j] < 400])
+
+    graph = Narrow.build(x, np.arange(1200), np.ones(1200, dtype=np.int64))
+    graph.settle()
+    assert graph.beam >= 100
+    assert len(set(graph.root)) == len(set(_components(x)))
+
+
+def test_recall_is_that_of_the_worst_found_stratum():
+    want = np.array([10_000] * 85 + [1] * 171 + [0] * 10)
+    assert hnsw.lowest_recall(want, np.where(want > 1, want, 0)) == 0.0
+    assert hnsw.lowest_recall(want, want) == 1.0
+    assert hnsw.lowest_recall(np.zeros(3), np.zeros(3)) == 1.0
+
+
 def _components(x):
     near = x @ x.T >= hnsw.COSINE
     root = np.arange(len(x))
