@@ -3,8 +3,10 @@
 A word's embedding is the sum of three rows of a hashed table: of the word and of its first four
 and five bytes, so that forms of a stem share what was learned.  Filters of several widths run
 over the whole text, the maximum of each over all places is pooled, and a logistic unit makes
-the score.  Thresholds for flagging are calibrated by language on rows set apart; the score
-itself sees nothing but the text.
+the score.  Thresholds for flagging are calibrated by language: every row with a label that may be
+learned is scored whole, and the labels are counted by language and range of scores, so classes have their
+true shares.  Languages of few toxic labels take the threshold of all together.  The score itself sees
+nothing but the text.
 
 Training takes a bounded sample: at most ``PER_CLASS`` labelled texts of either class in hash order, of at
 most ``MOST_WORDS`` words each.  The share of toxic labels, which sets the score's level, is counted
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..scratch import stored
 from .near_dup import _lists
 from .words import Hasher, doc_words
 
@@ -42,6 +45,7 @@ LEAST_POSITIVES = 20
 LEAST_TEXTS = 3
 LEAST_SEEN = 9000
 CHUNK_WORDS = 100_000
+SCORE_BINS = 64  # per unit of log-odds, which are counted between -30 and 30
 
 
 def held_out(doc_id: Column) -> Column:
@@ -62,6 +66,7 @@ class Model:
     out: np.ndarray
     level: float
     thresholds: dict[str, float] = field(default_factory=dict)
+    pooled: float = THRESHOLD  # of languages without one of their own
 
     @classmethod
     def fresh(cls, seed: int = 0) -> Model:
@@ -179,15 +184,12 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
     return model
 
 
-def _best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """Middle of the gap after which F1 is highest."""
-    order = np.argsort(-scores, kind="stable")
-    s, y = scores[order], labels[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1
+def _best_threshold(counts: list[tuple[int, int, float, float]]) -> float:
+    """Middle of the gap after which F1 is highest; (rows, toxic rows, lowest, highest score) by falling score."""
+    n, toxic, low, high = (np.array(c, dtype=np.float64) for c in zip(*counts))
+    f1 = 2 * np.cumsum(toxic) / (np.cumsum(n) + toxic.sum())
     k = int(np.argmax(f1))
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
+    return float((low[k] + (high[k + 1] if k + 1 < len(n) else 0.0)) / 2)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,17 +206,22 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
         tokens = _lists(flat, lengths[use] * 3, pa.int32())
         kept = batch.filter(pa.array(use))
-        yield pa.RecordBatch.from_arrays([kept.column("toxic"), kept.column("lang"), tokens], names=["toxic", "lang", "tokens"])
+        yield pa.RecordBatch.from_arrays([kept.column("toxic"), tokens], names=["toxic", "tokens"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, doc_id="doc_id", text="text",
-        lang: str | None = "lang", label: str = "toxic", per_class: int = PER_CLASS) -> Model | None:
-    """Train on labels of rows where ``learnable`` (a condition on ``doc_id``) holds; None without any label."""
+def _known(labels: DataFrame, learnable: Column | None, doc_id: str, label: str) -> DataFrame:
+    """(doc_id, toxic) of every id with a label that may be learned."""
     known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("toxic"))
     known = known.where("doc_id is not null and toxic is not null")
     if learnable is not None:
         known = known.where(learnable)
-    known = known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    return known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, doc_id="doc_id", text="text",
+        label: str = "toxic", per_class: int = PER_CLASS) -> Model | None:
+    """Train on labels of rows where ``learnable`` (a condition on ``doc_id``) holds; None without any label."""
+    known = _known(labels, learnable, doc_id, label)
     n, positives = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n:
         return None
@@ -222,35 +229,23 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, doc
     for value in (0, 1):
         one = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         drawn = one if drawn is None else drawn.unionByName(one)
-    named = docs.select(
-        F.col(f"`{doc_id}`").alias("doc_id"),
-        F.col(f"`{text}`").alias("text"),
-        (F.coalesce(F.col(f"`{lang}`"), F.lit("")) if lang else F.lit("")).alias("lang"),
-    )
+    named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     # the drawn ids are bounded: at most two times per_class rows of two numbers
-    sample = named.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "lang", "text")
-    rows = sample.mapInArrow(_tokens, "toxic int, lang string, tokens array<int>").toArrow()
+    sample = named.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text")
+    rows = sample.mapInArrow(_tokens, "toxic int, tokens array<int>").toArrow()
     y = np.array(rows.column("toxic").to_pylist(), dtype=np.float32)
     if not len(y):
         return None
     texts = [np.asarray(t, dtype=np.int32).reshape(-1, 3) for chunk in rows.column("tokens").chunks for t in _unpacked(chunk)]
-    langs = np.array(rows.column("lang").to_pylist(), dtype=object)
     # rows come in any order; the model must not depend on it
     order = sorted(range(len(y)), key=lambda i: (len(texts[i]), texts[i].tobytes(), y[i]))
-    texts, y, langs = [texts[i] for i in order], y[order], langs[order]
+    texts, y = [texts[i] for i in order], y[order]
+    # the rows apart stay unseen, for the thresholds
     apart = np.random.default_rng(1).random(len(y)) < 0.15
     model = train([t for t, a in zip(texts, apart) if not a], y[~apart])
     # the sample is balanced, the corpus is not
     share, drawn_share = (positives + 1) / (n + 2), (y[~apart].sum() + 1) / ((~apart).sum() + 2)
     model.level += float(np.log(share / (1 - share)) - np.log(drawn_share / (1 - drawn_share)))
-    checked = [t for t, a in zip(texts, apart) if a]
-    if checked:
-        own = np.repeat(np.arange(len(checked)), [len(t) for t in checked])
-        scores = model.score(model.pool(np.concatenate(checked), own, len(checked)))
-        for name in set(langs[apart]):
-            here = langs[apart] == name
-            if y[apart][here].sum() >= LEAST_POSITIVES:
-                model.thresholds[name] = _best_threshold(scores[here], y[apart][here])
     return model
 
 
@@ -304,17 +299,41 @@ def scored(docs: DataFrame, model: Model | None, *kept: str, text: str = "text")
     return rows.mapInArrow(_scorer(model), kind)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", lang: str | None = "lang", **options) -> DataFrame:
+def _language(lang: str | None) -> Column:
+    return (F.coalesce(F.col(f"`{lang}`"), F.lit("")) if lang else F.lit("")).alias("language")
+
+
+def calibrate(model: Model, docs: DataFrame, labels: DataFrame, learnable: Column | None = None, doc_id="doc_id", text="text",
+              lang: str | None = "lang", label: str = "toxic") -> None:
+    """Set the thresholds by counts of all labels that may be learned, each text scored whole."""
+    named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), _language(lang), F.col(f"`{text}`").alias("text"))
+    # scored before the join, so that no text is shuffled
+    scores = scored(named.where("doc_id is not null"), model, "doc_id", "language")
+    odds = F.log(F.greatest("score", F.lit(1e-14))) - F.log(F.greatest(1 - F.col("score"), F.lit(1e-14)))
+    bin_of = F.floor(F.greatest(F.least(odds, F.lit(30.0)), F.lit(-30.0)) * SCORE_BINS)
+    sums = [F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.min("low").alias("low"), F.max("high").alias("high")]
+    rows = scores.join(_known(labels, learnable, doc_id, label), "doc_id").select("language", "toxic", "score", bin_of.alias("bin"))
+    counts = stored(rows.groupBy("language", "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"), F.min("score").alias("low"), F.max("score").alias("high")), "score_counts")
+    often = counts.groupBy("language").agg(F.sum("toxic").alias("all")).where(F.col("all") >= LEAST_POSITIVES).select("language")
+    by: dict[str, list] = {}
+    for r in sorted(counts.join(often, "language").collect(), key=lambda r: -r["bin"]):
+        by.setdefault(r["language"], []).append((r["n"], r["toxic"], r["low"], r["high"]))
+    model.thresholds = {name: _best_threshold(c) for name, c in by.items()}
+    pooled = [(r["n"], r["toxic"], r["low"], r["high"]) for r in sorted(counts.groupBy("bin").agg(*sums).collect(), key=lambda r: -r["bin"])]
+    if sum(c[1] for c in pooled) >= LEAST_POSITIVES:
+        model.pooled = _best_threshold(pooled)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", lang: str | None = "lang",
+               learnable: Column | None = None, label: str = "toxic", **options) -> DataFrame:
     """The rows whose score stays below the threshold of their language, with all their columns."""
-    model = fit(docs, labels, doc_id=doc_id, text=text, lang=lang, **options)
+    model = fit(docs, labels, learnable, doc_id=doc_id, text=text, label=label, **options)
     if model is None:
         return docs
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        (F.coalesce(F.col(f"`{lang}`"), F.lit("")) if lang else F.lit("")).alias("language"),
-        F.col(f"`{text}`").alias("text"),
-    )
-    limit = F.lit(THRESHOLD)
+    calibrate(model, docs, labels, learnable, doc_id, text, lang, label)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _language(lang), F.col(f"`{text}`").alias("text"))
+    limit = F.lit(model.pooled)
     for name, value in sorted(model.thresholds.items()):
         limit = F.when(F.col("language") == name, F.lit(value)).otherwise(limit)
     return scored(packed, model, "doc", "language").where(F.col("score") < limit).select("doc.*")

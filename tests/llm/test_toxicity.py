@@ -77,6 +77,30 @@ def test_clean_documents_stay(spark, docs_of):
     assert wrong <= 0.03 * len(labels)
 
 
+def test_thresholds_come_from_all_labels_at_their_true_shares(spark, docs_of):
+    rows, labels = corpus()
+    # a hundred toxic labels are wrong, so that no threshold is perfect; one language is rare, one text is long
+    labels = [(i, int(y or (i % 5 == 1 and i < 500))) for i, y in labels]
+    rows[0] = (0, rows[0][1] + " word1" * 3000, "s")
+    docs = docs_of(rows).withColumn("lang", F.when(F.col("doc_id") % 50 == 0, "rare").otherwise("en"))
+    frame = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, frame, per_class=30)
+    toxicity.calibrate(model, docs, frame)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, model, "doc_id").collect()}
+
+    def f1(limit, of):
+        said = {i for i in of if scores[i] >= limit}
+        toxic = {i for i, y in labels if y and i in of}
+        return 2 * len(said & toxic) / (len(said) + len(toxic))
+
+    some, everything = {i for i in scores if i % 50}, set(scores)
+    assert list(model.thresholds) == ["en"]
+    assert f1(model.thresholds["en"], some) >= max(f1(s, some) for s in scores.values()) - 0.01
+    assert f1(model.pooled, everything) >= max(f1(s, everything) for s in scores.values()) - 0.01
+    kept = {r["doc_id"] for r in toxicity.keep_clean(docs, frame, per_class=30).collect()}
+    assert kept == {i for i, s in scores.items() if s < (model.thresholds["en"] if i % 50 else model.pooled)}
+
+
 def test_without_labels_nothing_is_toxic(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = docs_of([(1, "a b", "s")])
