@@ -75,6 +75,24 @@ def test_announced_and_unannounced_secrets_are_found(docs_of):
     assert found > 0.9 * (found + missed) and found > 50
 
 
+def test_planted_numbers_come_out_and_failing_ones_do_not(docs_of):
+    good = {"ssn": ["555-12-3456", "123-45-6789"], "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO9386011117947", "FR1420041010050500013M02606"],
+            "tel": ["(456) 555-2186", "456-555-2186", "030 1234567"]}
+    bad = ["000-12-3456", "666-12-3456", "912-12-3456", "555-00-3456", "555-12-0000", "DE88 3704 0044 0532 0130 00", "156-055-2186"]
+    rows, want = corpus(), {}
+    for i in range(200):
+        kind = ["ssn", "iban", "tel"][i % 3]
+        planted = good[kind][i // 3 % len(good[kind])]
+        rows.append((5000 + i, f"call {planted} now" if kind == "tel" else f"number {planted}, and so on", "s"))
+        want[5000 + i] = (kind, planted)
+    rows += [(6000 + i, f"number {b}, and so on", "s") for i, b in enumerate(bad * 5)]
+    texts = {i: t for i, t, _ in rows}
+    got = {r["doc_id"]: [s.split(":") for s in r["spans"].split(",") if s] for r in pii.pii_report(docs_of(rows)).collect()}
+    cut = {i: [(k, texts[i][int(a) : int(b)]) for k, a, b in got[i]] for i in got if i is not None and i >= 5000}
+    assert [i for i in want if want[i] not in cut[i]] == []
+    assert not any(k in ("ssn", "iban", "tel") for i in cut if i >= 6000 for k, _ in cut[i])
+
+
 def test_redaction_keeps_everything_else(docs_of):
     rows = [r for r in corpus() if r[0] is None or r[0] < 2003]
     docs = docs_of(rows)
