@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, hnsw, mixing, near_dup, pii, sharding, toxicity, url_filter, warc
+from . import chat, decontaminate, hnsw, mixing, near_dup, pii, sharding, token_align, toxicity, url_filter, vector_codes, warc
 from .common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,39 @@ def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of personal data in all documents."""
     return pii.pii_report(table(spark, folder, "documents"))
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Align the tokens of two tokenizers in all documents."""
+    report = token_align.align_report(table(spark, folder, "documents"))
+    names = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return report.select(*names)
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds over all entries, one common table each."""
+    steps = ["""k as (select vec_id, label, list_transform(embedding, lambda x: floor(1024::double * x::double)::bigint) as q,
+    row_number() over (order by vec_id) - 1 as nth from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+x as materialized (select vec_id, nth, (i - 1) // (len(q) // 4) as part, (i - 1) % (len(q) // 4) as place, q[i] as v
+  from (select *, unnest(range(1, len(q) + 1)) as i from k)),
+c0 as materialized (select nth as entry, part, place, v from x where nth < 256)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} as (select vec_id, part, entry, sum((x.v - c.v) * (x.v - c.v))::bigint as d from x join c{r} c using (part, place) group by 1, 2, 3),
+a{r} as materialized (select vec_id, part, min(d) as d, min(entry) filter (d = least_d) as entry
+  from (select *, min(d) over (partition by vec_id, part) as least_d from d{r}) group by 1, 2)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} as materialized (select entry, part, place, coalesce(m, v) as v from c{r}
+  left join (select entry, part, place, floor(sum(v)::double / count(*))::bigint as m from x join a{r} using (vec_id, part) group by 1, 2, 3) using (entry, part, place))""")
+    return "with " + ",\n".join(steps) + f"""
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+  (select sha256(string_agg(v::varchar, ',' order by part, entry, place)) from c{rounds}) as codebooks_sha256
+from (select vec_id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' order by part) as code, sum(d)::bigint as error from a{rounds} group by 1)
+join k using (vec_id)"""
+
+
+@query(_codes_sql())
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of all embeddings by four codebooks of 256 entries."""
+    return vector_codes.code_report(table(spark, folder, "embeddings"))

@@ -49,3 +49,13 @@ def with_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
         .withColumn(name, F.col("_before") + local)
         .drop("_part", "_at", "_before")
     )
+
+
+def smallest(df: DataFrame, n: int, *order: Column, fan_in: tuple[int, ...] = (1024, 32)) -> list:
+    """The first n rows by the order; each task passes on at most n rows, and groups of tasks halve them on the way."""
+    held = df.withColumn("_group", F.spark_partition_id())
+    for groups in fan_in:
+        held = held.withColumn("_group", F.pmod("_group", F.lit(groups)))
+        held = held.withColumn("_nth", F.row_number().over(Window.partitionBy("_group").orderBy(*order))).where(F.col("_nth") <= n).drop("_nth")
+    # what is left is at most n rows of each of the last groups
+    return held.drop("_group").orderBy(*order).limit(n).collect()
