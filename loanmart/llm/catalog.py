@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, hnsw, mixing, near_dup, pii, sharding, token_align, toxicity, url_filter, vector_codes, warc
+from . import chat, decontaminate, hnsw, html_text, mixing, near_dup, pii, sharding, token_align, toxicity, url_filter, vector_codes, warc
 from .common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,6 +196,12 @@ def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return report.select(*names)
 
 
+@query()
+def op12_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.main_texts(table(spark, folder, "pages"))
+
+
 def _codes_sql(rounds: int = 4) -> str:
     """Lloyd's rounds over all entries, one common table each."""
     steps = ["""k as (select vec_id, label, list_transform(embedding, lambda x: floor(1024::double * x::double)::bigint) as q,
