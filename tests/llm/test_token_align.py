@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+from array import array
 from collections import Counter
 
 import pytest
@@ -106,7 +108,17 @@ def test_both_libraries_give_the_same_ids(spark, plain):
     some = [" " + t for t in texts() if t]
     fast = byte_level.encoder()(some)
     byte_level.ranked = False
-    assert fast == byte_level.encoder()(some) == [plain.a.encode(t, add_special_tokens=False).ids for t in some]
+    assert fast == byte_level.encoder()(some)
+    assert [list(array("i", ids)) for ids in map(bytes, fast)] == [plain.a.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_words_and_whole_texts_give_the_same(docs_of, spark, monkeypatch):
+    byte_level, pieces = token_align.load(spark)
+    assert pieces.by_word
+    rows = [(i, t, "s") for i, t in enumerate([*texts(), "a\n b", "a \n", " ", "\t  b", "x  y\u00a0 z", "a\x1c b\u2003 c ", "'s 'll  \u3000 d"])]
+    by_word = found(token_align.align_report(docs_of(rows)))
+    monkeypatch.setattr(token_align, "_WORDS", re.compile(r"(?s).+"))
+    assert found(token_align.align_report(docs_of(rows))) == by_word
 
 
 def test_small_slices_and_partial_merges(docs_of, plain, monkeypatch):
