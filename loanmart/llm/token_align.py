@@ -38,10 +38,10 @@ from ..scratch import stored
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-SLICE_BYTES = 2 << 20
-KNOWN_WORDS = 400_000  # a task remembers the tokens of so many words
-SLICE_LINKS = 1 << 19
-MERGED_ROWS = 1 << 20  # partial counts of a task are merged when there are so many
+SLICE_BYTES = 1 << 20
+KNOWN_WORDS = 120_000  # a task remembers the tokens of so many words
+SLICE_LINKS = 1 << 18
+MERGED_ROWS = 1 << 19  # partial counts of a task are merged when there are so many
 # a word with the white space before it, cut where a space follows what is none; white space at the end belongs to the last one
 _WORDS = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:\s+\Z)?|\s+\Z")
 # fixed value: how byte-level BPE cuts a text before merging
@@ -277,6 +277,8 @@ def _aligner(byte_level: ByteLevel, pieces: Pieces):
                 out = {"doc_id": part.column("doc_id"), **_aligned(texts, a, b, byte_level.ranked and pieces.by_word, id_kind(byte_level, pieces))}
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
                 lo = hi
+            pa.default_memory_pool().release_unused()
+        a = b = None
 
     return run
 
@@ -298,6 +300,7 @@ def _link_tables(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple
             a, b = _unpack(part.column("a"), kind), _unpack(part.column("b"), kind)
             yield part, pa.table({"doc": pc.list_parent_indices(a), "a": a.flatten(), "b": b.flatten()})
             lo = hi
+        pa.default_memory_pool().release_unused()
 
 
 def _counter(kind: str):
