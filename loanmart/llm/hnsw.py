@@ -34,6 +34,7 @@ from .graph import components
 COSINE = 0.9
 LEAST_SHARDS = 8
 SHARD_ROWS = 50_000
+SHARD_BYTES = 128 << 20  # of vectors in double precision
 LINKS = 12
 BUILD_BEAM = 48
 BEAM = 24
@@ -41,7 +42,8 @@ AUDITED = 256
 RECALL = 0.99
 BLOCK = 256
 QUERY_ROWS = 16_384
-MARGIN = 1e-4  # of single precision, before the check in double
+MARGIN = 1e-4  # more than single precision can err: nearer to the limit, cosines are checked in double
+SCAN = 64  # a beam costs about as much as a product with so many vectors for each place it has
 
 
 def _top(sims: np.ndarray, k: int) -> np.ndarray:
@@ -50,11 +52,13 @@ def _top(sims: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-sims, k - 1, axis=1)[:, :k]
 
 
-def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, floor: float = -np.inf, at_once: int = 4):
+def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, floor: float = -np.inf):
     """Beam search of many queries at a time: (ids, similarities), unordered; ids of unused places are -1.
 
-    Nodes less similar than ``floor`` are not searched from.
+    Nodes less similar than ``floor`` are not searched from.  Wide beams read more nodes at once, so that rounds don't grow
+    with the beam.
     """
+    at_once = max(4, ef // 8)
     b, n = len(q), len(x)
     ids = np.full((b, ef), -1, dtype=np.int32)
     sims = np.full((b, ef), -np.inf, dtype=np.float32)
@@ -203,9 +207,11 @@ class Graph:
             ids, floor = None, -np.inf
             while len(rows):
                 part = q[rows].astype(np.float32)
-                if ef >= n // 2:
-                    # as wide as the shard: look at all of it
-                    i, j = np.nonzero(part @ self.x32.T >= COSINE - MARGIN)
+                if ef * SCAN >= n:
+                    # looking at the whole shard costs less than so wide a beam
+                    sims = part @ self.x32.T
+                    i, j = np.nonzero(sims >= COSINE - MARGIN)
+                    near = sims[i, j]
                     full = np.zeros(len(rows), dtype=bool)
                 else:
                     if ids is None:
@@ -220,9 +226,13 @@ class Graph:
                     hit = sims >= COSINE - MARGIN
                     full = hit.sum(axis=1) * 2 >= ef
                     i, at = np.nonzero(hit & ~full[:, None])
-                    j = ids[i, at]
+                    j, near = ids[i, at], sims[i, at]
+                i = rows[i]
+                doubtful = near < COSINE + MARGIN
+                yield i[~doubtful], j[~doubtful]
+                i, j = i[doubtful], j[doubtful]
                 for a in range(0, len(i), 1 << 16):
-                    qi, nj = rows[i[a : a + (1 << 16)]], j[a : a + (1 << 16)]
+                    qi, nj = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
                     good = np.einsum("ij,ij->i", q[qi], self.x[nj]) >= COSINE
                     yield qi[good], nj[good]
                 rows, ef = rows[full], ef * 4
@@ -307,16 +317,18 @@ def _search(folder: str, factor: int):
                 order = np.argsort(graph.uid)
                 at = order[np.minimum(np.searchsorted(graph.uid[order], own), len(order) - 1)]
                 here = np.flatnonzero(graph.uid[at] == own)
-                roots = [np.stack([here, graph.root[at[here]]], axis=1)]
+                names, root_at = np.unique(graph.root, return_inverse=True)
+                roots = [here * len(names) + root_at[at[here]]]
                 for i, j in graph.hits(q, graph.beam * factor):
                     other = graph.uid[j] != own[i]
                     i, j = i[other], j[other]
-                    np.add.at(links, i, graph.weight[j])
+                    # weights are whole numbers, their sums exact below 2 ** 53
+                    links += np.bincount(i, graph.weight[j], minlength=len(rows)).astype(np.int64)
                     near += np.bincount(i, minlength=len(rows))
-                    roots.append(np.unique(np.stack([i, graph.root[j]], axis=1), axis=0))
-                pairs = np.unique(np.concatenate(roots), axis=0)
-                ends = np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1))
-                lists = [pairs[a:b, 1].tolist() for a, b in zip(ends[:-1], ends[1:])]
+                    roots.append(np.unique(i * len(names) + root_at[j]))
+                pairs = np.unique(np.concatenate(roots))
+                ends = np.searchsorted(pairs, np.arange(len(rows) + 1) * len(names))
+                lists = [names[pairs[a:b] % len(names)].tolist() for a, b in zip(ends[:-1], ends[1:])]
                 out = pd.DataFrame({"uid": own, "links": links, "near": near, "roots": lists})
                 yield out[out["links"] > 0]
 
@@ -350,15 +362,26 @@ def _truth(vectors: DataFrame, audited: DataFrame) -> dict[int, int]:
     return {r["uid"]: r["n"] for r in found.collect()}
 
 
+def shard_rows(dimension: int) -> int:
+    """Vectors of a shard: bounded in number and in bytes."""
+    return max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * max(dimension, 1))))
+
+
 def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
+    return audited_near_vectors(rows, vec_id, embedding)[0]
+
+
+def audited_near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, float]:
+    """The rows of :func:`near_vectors`, and the recall its audit measured (of the worst stratum of links)."""
     spark = rows.sparkSession
     named = rows.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").alias("vector"))
     good = named.where(usable(F.col("vector")))
     vectors = good.groupBy("vector").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
     vectors = stored(vectors.withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    n = vectors.count()
-    shards = max(LEAST_SHARDS, -(-n // SHARD_ROWS))
+    n, longest = vectors.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    held = shard_rows(longest or 1)
+    shards = max(LEAST_SHARDS, -(-n // held))
     shard = F.size("vector") * shards + F.pmod(F.xxhash64("uid"), F.lit(shards))
     folder = new_path(spark, "graphs")
     built = vectors.select("uid", "vector", "copies", shard.cast("int").alias("shard")).groupBy("shard")
@@ -366,13 +389,16 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     built.write.partitionBy("part").parquet(folder)
     folder = qualified(spark, folder)
     audited = stored(vectors.orderBy(F.xxhash64("uid", F.lit(1)), "uid").limit(AUDITED), "audited")
-    truth, factor = _truth(vectors, audited), 1
+    truth, factor, recall = _truth(vectors, audited), 1, 1.0
     want = np.array(list(truth.values()))
     while truth:
         found = _ask(audited, shards, folder, factor, 1).groupBy("uid").agg(F.sum("near").alias("n"))
         got = {r["uid"]: r["n"] for r in found.collect()}
-        if lowest_recall(want, np.array([got.get(uid, 0) for uid in truth])) >= RECALL or factor * BEAM >= SHARD_ROWS:
+        recall = lowest_recall(want, np.array([got.get(uid, 0) for uid in truth]))
+        if recall >= RECALL:
             break
+        if factor * BEAM * SCAN >= held:
+            raise RuntimeError(f"recall {recall} although every shard was looked at whole")
         factor *= 2
     asked = stored(_ask(vectors, shards, folder, factor, max(1, -(-n // QUERY_ROWS))), "asked")
     links = asked.groupBy("uid").agg(F.sum("links").alias("links"))
@@ -386,4 +412,4 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     linked = good.join(known, "vector").select("vec_id", "n_links", "component_id")
     alone = named.where(~usable(F.col("vector"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), recall
