@@ -3,19 +3,19 @@
 A word's embedding is the sum of three rows of a hashed table: of the word and of its first four
 and five bytes, so that forms of a stem share what was learned.  Filters of several widths run
 over the whole text, the maximum of each over all places is pooled, and a logistic unit makes
-the score.  Thresholds for flagging are calibrated by language: every row with a label that may be
-learned is scored whole, and the labels are counted by language and range of scores, so classes have their
-true shares.  Languages of few toxic labels take the threshold of all together.  The score itself sees
-nothing but the text.
+the score.  Thresholds for flagging are calibrated by language: texts are scored once, whole, and the labels
+that the fit has not seen are counted by language and range of scores, each class weighted back to its true share.  One
+label in ``RESERVED`` is never drawn for a fit whose thresholds are calibrated, so there are such labels at every size.
+Languages of few toxic labels take the threshold of all together.  The score itself sees nothing but the text.
 
-Training takes a bounded sample: at most ``PER_CLASS`` labelled texts of either class in hash order, of at
-most ``MOST_WORDS`` words each.  The share of toxic labels, which sets the score's level, is counted
-over all labels that may be learned.  Scoring reads every text whole, in pieces of bounded size.
+Training takes a bounded sample: in hash order, at most ``PER_CLASS`` labelled texts of either class and ``WORDS_PER_CLASS``
+words of each, whole texts of any length up to that; it takes ``STEPS`` steps.  The share of toxic labels, which sets the score's
+level, is counted over all labels that may be learned.  Scoring reads every text whole, in pieces of bounded size.
 
 Defined cases: null texts and texts without words get the score of an empty text; a null id is not
 held out and has no label; several labels of an id count by their mean, null labels not at all;
-repeated rows get equal scores; without any usable label every score is 0; an empty table
-gives no rows; further columns, whatever their names, are kept by ``keep_clean``.
+repeated rows get equal scores; without any usable label every score is 0, with texts of one
+class only it is the share of toxic labels, and ``keep_clean`` keeps all in both cases; an empty table gives no rows; further columns, whatever their names, are kept by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -28,22 +28,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..scratch import stored
+from .common import smallest
 from .near_dup import _lists
 from .words import Hasher, doc_words
 
 PER_CLASS = 4000
-MOST_WORDS = 2000
+WORDS_PER_CLASS = 1_500_000
 BUCKETS = 1 << 16
 SIZE = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-EPOCHS = 6
+STEPS = 600
 BATCH = 64
+BATCH_WORDS = 60_000
+RESERVED = 5
 PREFIXES = (4, 5)
 THRESHOLD = 0.3
 LEAST_POSITIVES = 20
 LEAST_TEXTS = 3
-LEAST_SEEN = 9000
 CHUNK_WORDS = 100_000
 SCORE_BINS = 64  # per unit of log-odds, which are counted between -30 and 30
 
@@ -67,6 +69,8 @@ class Model:
     level: float
     thresholds: dict[str, float] = field(default_factory=dict)
     pooled: float = THRESHOLD  # of languages without one of their own
+    drawn: dict[int, int] = field(default_factory=dict)  # by class: the last place in hash order that the fit has seen
+    learned: bool = True
 
     @classmethod
     def fresh(cls, seed: int = 0) -> Model:
@@ -126,7 +130,7 @@ class _Adagrad:
         value[rows] -= self.rate * grad / np.sqrt(self.sum[rows])
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 0) -> Model:
+def train(texts: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: int = 0) -> Model:
     """Fit on lists of (words, 3) ids; gradients reach only the places that won the pooling."""
     model, rng = Model.fresh(seed), np.random.default_rng(seed)
     n = FILTERS * len(WIDTHS)
@@ -140,11 +144,15 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
         seen_in[np.unique(texts[i])] += 1
     learned = seen_in >= LEAST_TEXTS
     model.table[~learned] = 0
-    # a small sample takes more rounds to as many steps
-    for _ in range(max(epochs, min(30, LEAST_SEEN // max(1, len(usable))))):
+    # as many steps whatever the size of the sample
+    while steps > 0 and len(usable):
         order = rng.permutation(usable)
-        for lo in range(0, len(order), BATCH):
-            some = order[lo : lo + BATCH]
+        reach = np.cumsum([len(texts[i]) for i in order])
+        lo = 0
+        while lo < len(order) and steps > 0:
+            hi = int(np.searchsorted(reach, (reach[lo - 1] if lo else 0) + BATCH_WORDS, side="right"))
+            some = order[lo : max(lo + 1, min(lo + BATCH, hi))]
+            lo, steps = lo + len(some), steps - 1
             ids = np.concatenate([texts[i] for i in some])
             owner = np.repeat(np.arange(len(some)), [len(texts[i]) for i in some])
             kept = rng.random(len(ids)) > 0.1
@@ -201,12 +209,9 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(rows):
                 found[first + i].append(ids[ends[i - 1] if i else 0 : ends[i]])
         lengths = np.array([sum(len(x) for x in f) for f in found], dtype=np.int64)
-        use = lengths <= MOST_WORDS
-        flat = [x.ravel() for f, u in zip(found, use) if u for x in f]
+        flat = [x.ravel() for f in found for x in f]
         flat = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
-        tokens = _lists(flat, lengths[use] * 3, pa.int32())
-        kept = batch.filter(pa.array(use))
-        yield pa.RecordBatch.from_arrays([kept.column("toxic"), tokens], names=["toxic", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), _lists(flat, lengths * 3, pa.int32())], names=["toxic", "tokens"])
 
 
 def _known(labels: DataFrame, learnable: Column | None, doc_id: str, label: str) -> DataFrame:
@@ -218,33 +223,55 @@ def _known(labels: DataFrame, learnable: Column | None, doc_id: str, label: str)
     return known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
 
 
+def _place() -> Column:
+    return F.xxhash64("doc_id")
+
+
+def _reserved() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(RESERVED)) == 0
+
+
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, doc_id="doc_id", text="text",
-        label: str = "toxic", per_class: int = PER_CLASS) -> Model | None:
-    """Train on labels of rows where ``learnable`` (a condition on ``doc_id``) holds; None without any label."""
+        label: str = "toxic", per_class: int = PER_CLASS, reserve: bool = False) -> Model | None:
+    """Train on labels of rows where ``learnable`` (a condition on ``doc_id``) holds; None without any label.
+
+    With ``reserve`` one label in ``RESERVED`` is kept from the fit.
+    """
+    spark, kind = docs.sparkSession, "doc_id long, toxic int"
     known = _known(labels, learnable, doc_id, label)
     n, positives = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n:
         return None
-    drawn = None
-    for value in (0, 1):
-        one = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        drawn = one if drawn is None else drawn.unionByName(one)
+    open_to_fit = known.where(~_reserved()) if reserve else known
+    drawn = [tuple(r) for value in (0, 1) for r in smallest(open_to_fit.where(F.col("toxic") == value), per_class, _place(), F.col("doc_id"))]
     named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     # the drawn ids are bounded: at most two times per_class rows of two numbers
-    sample = named.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text")
-    rows = sample.mapInArrow(_tokens, "toxic int, tokens array<int>").toArrow()
-    y = np.array(rows.column("toxic").to_pylist(), dtype=np.float32)
-    if not len(y):
+    sample = named.join(F.broadcast(spark.createDataFrame(drawn, kind)), "doc_id")
+    words = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).alias("words")
+    lengths = sample.select("doc_id", "toxic", _place().alias("place"), words).groupBy("doc_id", "toxic", "place").agg(F.sum("words").alias("words"))
+    taken, last, left = [], {}, {0: WORDS_PER_CLASS, 1: WORDS_PER_CLASS}
+    for r in sorted(lengths.collect(), key=lambda r: (r["place"], r["doc_id"])):
+        if r["words"] <= left[r["toxic"]]:
+            left[r["toxic"]] -= r["words"]
+            taken.append((r["doc_id"], r["toxic"]))
+            last[r["toxic"]] = r["place"]
+    if not taken:
         return None
+    rows = named.join(F.broadcast(spark.createDataFrame(taken, kind)), "doc_id").select("toxic", "text")
+    rows = rows.mapInArrow(_tokens, "toxic int, tokens array<int>").toArrow()
+    y = np.array(rows.column("toxic").to_pylist(), dtype=np.float32)
     texts = [np.asarray(t, dtype=np.int32).reshape(-1, 3) for chunk in rows.column("tokens").chunks for t in _unpacked(chunk)]
     # rows come in any order; the model must not depend on it
     order = sorted(range(len(y)), key=lambda i: (len(texts[i]), texts[i].tobytes(), y[i]))
     texts, y = [texts[i] for i in order], y[order]
-    # the rows apart stay unseen, for the thresholds
-    apart = np.random.default_rng(1).random(len(y)) < 0.15
-    model = train([t for t, a in zip(texts, apart) if not a], y[~apart])
+    one_class = y.min(initial=1) == y.max(initial=0)
+    model = train(texts, y, 0 if one_class else STEPS)
+    model.drawn = last
+    if one_class:
+        # nothing tells the classes apart: every text gets their share
+        model.out[:], model.learned = 0, False
     # the sample is balanced, the corpus is not
-    share, drawn_share = (positives + 1) / (n + 2), (y[~apart].sum() + 1) / ((~apart).sum() + 2)
+    share, drawn_share = (positives + 1) / (n + 2), (y.sum() + 1) / (len(y) + 2) if model.learned else 0.5
     model.level += float(np.log(share / (1 - share)) - np.log(drawn_share / (1 - drawn_share)))
     return model
 
@@ -255,13 +282,15 @@ def _unpacked(chunk: pa.ListArray) -> list[np.ndarray]:
 
 
 def _scorer(model: Model | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of one array of texts after another."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = Hasher(plain=True)
         reach, ids_none = max(WIDTHS) - 1, np.zeros((0, 1 + len(PREFIXES)), dtype=np.int32)
-        for batch in batches:
-            scores = np.zeros(len(batch))
+        for column in columns:
+            scores = np.zeros(len(column))
             if model is not None:
-                pooled = np.full((len(batch), FILTERS * len(WIDTHS)), -np.inf, dtype=np.float32)
+                pooled = np.full((len(column), FILTERS * len(WIDTHS)), -np.inf, dtype=np.float32)
                 tail, tail_of = ids_none, -1
 
                 def pool(ids: np.ndarray, owner: np.ndarray, first: int, rows: int, windows: int | None = None) -> None:
@@ -270,7 +299,7 @@ def _scorer(model: Model | None):
                     best = model.pool(ids, owner, rows, windows)
                     pooled[first : first + rows] = np.maximum(pooled[first : first + rows], best)
 
-                for first, rows, hashes, owner, cut in doc_words(batch.column("text"), hasher, PREFIXES):
+                for first, rows, hashes, owner, cut in doc_words(column, hasher, PREFIXES):
                     ids = _ids(hashes, cut)
                     if tail_of != first:
                         # the text before is over: its last places
@@ -286,54 +315,74 @@ def _scorer(model: Model | None):
                     tail, tail_of = ids[done:], first
                 pool(tail, np.zeros(len(tail), dtype=np.int64), tail_of, 1)
                 scores = model.score(pooled)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(scores)],
-                                             names=[*batch.schema.names[:-1], "score"])
+            yield pa.array(scores)
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
+def score(model: Model | None, text: Column) -> Column:
+    """The score of a text column; nothing else goes to the Python workers."""
+    run = _scorer(model)
+
+    @F.arrow_udf("double")
+    def scores(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run(columns)
+
+    return scores(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def scored(docs: DataFrame, model: Model | None, *kept: str, text: str = "text") -> DataFrame:
     """The kept columns and ``score`` of every row."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("text"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double"
-    return rows.mapInArrow(_scorer(model), kind)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], score(model, F.col(f"`{text}`")).alias("score"))
 
 
 def _language(lang: str | None) -> Column:
-    return (F.coalesce(F.col(f"`{lang}`"), F.lit("")) if lang else F.lit("")).alias("language")
+    return (F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")) if lang else F.lit("")).alias("language")
 
 
-def calibrate(model: Model, docs: DataFrame, labels: DataFrame, learnable: Column | None = None, doc_id="doc_id", text="text",
-              lang: str | None = "lang", label: str = "toxic") -> None:
-    """Set the thresholds by counts of all labels that may be learned, each text scored whole."""
-    named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), _language(lang), F.col(f"`{text}`").alias("text"))
-    # scored before the join, so that no text is shuffled
-    scores = scored(named.where("doc_id is not null"), model, "doc_id", "language")
+def calibrate(model: Model, scores: DataFrame, labels: DataFrame, learnable: Column | None = None, doc_id="doc_id", label: str = "toxic") -> None:
+    """Set the thresholds from (doc_id, language, score) of all texts and all labels the fit has not seen."""
+    known = _known(labels, learnable, doc_id, label)
+    unseen = _reserved()
+    for value in (0, 1):
+        unseen = unseen | ((F.col("toxic") == value) & (_place() > F.lit(model.drawn.get(value, -(1 << 63)))))
+    # what the fit drew is missing unevenly: every class counts as its share of all labels
+    shares = known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(unseen.cast("long")).alias("left")).collect()
+    weight = F.lit(0.0)
+    for r in shares:
+        weight = F.when(F.col("toxic") == r["toxic"], F.lit(r["n"] / max(r["left"], 1))).otherwise(weight)
     odds = F.log(F.greatest("score", F.lit(1e-14))) - F.log(F.greatest(1 - F.col("score"), F.lit(1e-14)))
     bin_of = F.floor(F.greatest(F.least(odds, F.lit(30.0)), F.lit(-30.0)) * SCORE_BINS)
-    sums = [F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.min("low").alias("low"), F.max("high").alias("high")]
-    rows = scores.join(_known(labels, learnable, doc_id, label), "doc_id").select("language", "toxic", "score", bin_of.alias("bin"))
+    rows = scores.where("doc_id is not null").join(known.where(unseen), "doc_id").select("language", "toxic", "score", bin_of.alias("bin"), weight.alias("weight"))
     counts = stored(rows.groupBy("language", "bin").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"), F.min("score").alias("low"), F.max("score").alias("high")), "score_counts")
-    often = counts.groupBy("language").agg(F.sum("toxic").alias("all")).where(F.col("all") >= LEAST_POSITIVES).select("language")
+        F.sum("weight").alias("n"), F.sum(F.col("toxic") * F.col("weight")).alias("toxic"), F.sum("toxic").alias("seen"),
+        F.min("score").alias("low"), F.max("score").alias("high")), "score_counts")
+    often = counts.groupBy("language").agg(F.sum("seen").alias("all")).where(F.col("all") >= LEAST_POSITIVES).select("language")
     by: dict[str, list] = {}
     for r in sorted(counts.join(often, "language").collect(), key=lambda r: -r["bin"]):
         by.setdefault(r["language"], []).append((r["n"], r["toxic"], r["low"], r["high"]))
     model.thresholds = {name: _best_threshold(c) for name, c in by.items()}
-    pooled = [(r["n"], r["toxic"], r["low"], r["high"]) for r in sorted(counts.groupBy("bin").agg(*sums).collect(), key=lambda r: -r["bin"])]
-    if sum(c[1] for c in pooled) >= LEAST_POSITIVES:
-        model.pooled = _best_threshold(pooled)
+    sums = [F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.sum("seen").alias("seen"), F.min("low").alias("low"), F.max("high").alias("high")]
+    pooled = sorted(counts.groupBy("bin").agg(*sums).collect(), key=lambda r: -r["bin"])
+    if sum(r["seen"] for r in pooled) >= LEAST_POSITIVES:
+        model.pooled = _best_threshold([(r["n"], r["toxic"], r["low"], r["high"]) for r in pooled])
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", lang: str | None = "lang",
                learnable: Column | None = None, label: str = "toxic", **options) -> DataFrame:
-    """The rows whose score stays below the threshold of their language, with all their columns."""
-    model = fit(docs, labels, learnable, doc_id=doc_id, text=text, label=label, **options)
-    if model is None:
+    """The rows whose score stays below the threshold of their language, with all their columns.
+
+    Rows are written once with their scores; thresholds and the result are read from there.
+    """
+    model = fit(docs, labels, learnable, doc_id=doc_id, text=text, label=label, reserve=True, **options)
+    if model is None or not model.learned:
         return docs
-    calibrate(model, docs, labels, learnable, doc_id, text, lang, label)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _language(lang), F.col(f"`{text}`").alias("text"))
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(packed, F.col(f"`{doc_id}`").alias("doc_id"), _language(lang), score(model, F.col(f"`{text}`")).alias("score"))
+    rows = stored(rows, "scored")
+    calibrate(model, rows.select("doc_id", "language", "score"), labels, learnable, doc_id, label)
     limit = F.lit(model.pooled)
     for name, value in sorted(model.thresholds.items()):
         limit = F.when(F.col("language") == name, F.lit(value)).otherwise(limit)
-    return scored(packed, model, "doc", "language").where(F.col("score") < limit).select("doc.*")
+    return rows.where(F.col("score") < limit).select("doc.*")
