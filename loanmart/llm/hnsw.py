@@ -43,7 +43,6 @@ RECALL = 0.99
 BLOCK = 256
 QUERY_ROWS = 16_384
 MARGIN = 1e-4  # more than single precision can err: nearer to the limit, cosines are checked in double
-SCAN = 64  # a beam costs about as much as a product with so many vectors for each place it has
 
 
 def _top(sims: np.ndarray, k: int) -> np.ndarray:
@@ -52,11 +51,10 @@ def _top(sims: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-sims, k - 1, axis=1)[:, :k]
 
 
-def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, floor: float = -np.inf):
+def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int):
     """Beam search of many queries at a time: (ids, similarities), unordered; ids of unused places are -1.
 
-    Nodes less similar than ``floor`` are not searched from.  Wide beams read more nodes at once, so that rounds don't grow
-    with the beam.
+    Wide beams read more nodes at once, so that rounds don't grow with the beam.
     """
     at_once = max(4, ef // 8)
     b, n = len(q), len(x)
@@ -68,7 +66,7 @@ def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef
     first = True
     while True:
         if not first:
-            waiting = np.where(unread & (sims >= floor), sims, -np.inf)
+            waiting = np.where(unread, sims, -np.inf)
             pick = _top(waiting, at_once)
             live = np.take_along_axis(waiting, pick, axis=1) > -np.inf
             rows = np.flatnonzero(live.any(axis=1))
@@ -200,31 +198,29 @@ class Graph:
         links[target] = _select(self.x32, np.where(bad, 0, cand), np.where(bad, -np.inf, sims), links.shape[1])
 
     def hits(self, q: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, node) pairs with at least the cosine, checked in double; a beam full of hits is widened."""
+        """(query, node) pairs with at least the cosine.
+
+        A beam that comes back full of hits is widened to the whole shard: shards are bounded, and one matrix product over
+        all of it costs less than the next wider beam.
+        """
         n = len(self.x)
         for lo in range(0, len(q), BLOCK):
-            rows, ef = np.arange(lo, min(lo + BLOCK, len(q))), beam
-            ids, floor = None, -np.inf
+            rows, whole = np.arange(lo, min(lo + BLOCK, len(q))), 2 * beam >= n
             while len(rows):
                 part = q[rows].astype(np.float32)
-                if ef * SCAN >= n:
-                    # looking at the whole shard costs less than so wide a beam
+                if whole:
                     sims = part @ self.x32.T
                     i, j = np.nonzero(sims >= COSINE - MARGIN)
                     near = sims[i, j]
                     full = np.zeros(len(rows), dtype=bool)
                 else:
-                    if ids is None:
-                        entry = np.zeros((len(rows), 1), dtype=np.int32)
-                        for links in self.links[:0:-1]:
-                            entry, _ = _beam(self.x32, links, part, entry, 4)
-                            entry = np.where(entry < 0, 0, entry)
-                    else:
-                        # go on from what was found, through what is near enough
-                        entry, floor = ids, COSINE - 0.05
-                    ids, sims = _beam(self.x32, self.links[0], part, entry, ef, floor)
+                    entry = np.zeros((len(rows), 1), dtype=np.int32)
+                    for links in self.links[:0:-1]:
+                        entry, _ = _beam(self.x32, links, part, entry, 4)
+                        entry = np.where(entry < 0, 0, entry)
+                    ids, sims = _beam(self.x32, self.links[0], part, entry, beam)
                     hit = sims >= COSINE - MARGIN
-                    full = hit.sum(axis=1) * 2 >= ef
+                    full = hit.sum(axis=1) * 2 >= beam
                     i, at = np.nonzero(hit & ~full[:, None])
                     j, near = ids[i, at], sims[i, at]
                 i = rows[i]
@@ -235,8 +231,7 @@ class Graph:
                     qi, nj = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
                     good = np.einsum("ij,ij->i", q[qi], self.x[nj]) >= COSINE
                     yield qi[good], nj[good]
-                rows, ef = rows[full], ef * 4
-                ids = ids[full] if ids is not None else None
+                rows, whole = rows[full], True
 
     def settle(self) -> None:
         """Widen the first beam until sampled members find what brute force finds; join own components."""
@@ -397,7 +392,7 @@ def audited_near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str
         recall = lowest_recall(want, np.array([got.get(uid, 0) for uid in truth]))
         if recall >= RECALL:
             break
-        if factor * BEAM * SCAN >= held:
+        if 2 * factor * BEAM >= held:
             raise RuntimeError(f"recall {recall} although every shard was looked at whole")
         factor *= 2
     asked = stored(_ask(vectors, shards, folder, factor, max(1, -(-n // QUERY_ROWS))), "asked")
