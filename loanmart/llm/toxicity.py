@@ -46,7 +46,7 @@ PREFIXES = (4, 5)
 THRESHOLD = 0.3
 LEAST_POSITIVES = 20
 LEAST_TEXTS = 3
-CHUNK_WORDS = 100_000
+CHUNK_WORDS = 25_000
 SCORE_BINS = 64  # per unit of log-odds, which are counted between -30 and 30
 
 
@@ -378,11 +378,12 @@ def keep_clean(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text",
     model = fit(docs, labels, learnable, doc_id=doc_id, text=text, label=label, reserve=True, **options)
     if model is None or not model.learned:
         return docs
-    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    rows = docs.select(packed, F.col(f"`{doc_id}`").alias("doc_id"), _language(lang), score(model, F.col(f"`{text}`")).alias("score"))
+    # other names, so that none clashes; a text is in the row once
+    kept = [(f"_{i}", c) for i, c in enumerate(docs.columns)]
+    rows = docs.select(*[F.col(f"`{c}`").alias(own) for own, c in kept], F.col(f"`{doc_id}`").alias("doc_id"), _language(lang), score(model, F.col(f"`{text}`")).alias("score"))
     rows = stored(rows, "scored")
     calibrate(model, rows.select("doc_id", "language", "score"), labels, learnable, doc_id, label)
     limit = F.lit(model.pooled)
     for name, value in sorted(model.thresholds.items()):
         limit = F.when(F.col("language") == name, F.lit(value)).otherwise(limit)
-    return rows.where(F.col("score") < limit).select("doc.*")
+    return rows.where(F.col("score") < limit).select(*[F.col(own).alias(c) for own, c in kept])

@@ -2,7 +2,7 @@
 
 Words are runs of anything but the six ASCII blanks.  A word's hash is a polynomial in
 its bytes, read off prefix sums, so no Python object is made per word.  Texts are taken in
-pieces of a few MB, cut between words, so memory stays bounded however long a text is.
+pieces of half a MB, cut between words, so memory stays bounded however long a text is.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
 _P = 0x9E3779B97F4A7C15 | 1
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
