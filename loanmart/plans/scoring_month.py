@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassificationModel, LinearSVCModel, LogisticRegressionModel
+from pyspark.ml.classification import LinearSVCModel, LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import models as M, registry as R, scoring as Sc
+from ..operators.boosting import BoostedModel
 from ..sources.sinks import write_outbox, write_parquet
 from .mart import Mart
 from .training_month import load_encoders
 
 LOADERS = {
     M.LOGISTIC: LogisticRegressionModel,
-    M.BOOSTED: GBTClassificationModel,
     M.SVM: LinearSVCModel,
 }
 PREDICTIONS = "customer_id string, loan_start_date date, prediction int"
@@ -33,7 +33,8 @@ def score_month(
     encoders = load_encoders(spark, mart, active.effective_date)
     trained_on = spark.read.parquet(mart.encoded("view", active.effective_date))
     columns = encoders.feature_columns(trained_on)
-    model = LOADERS[kind].load(mart.model(kind, active.effective_date))
+    path = mart.model(kind, active.effective_date)
+    model = BoostedModel.load(spark, path) if kind == M.BOOSTED else LOADERS[kind].load(path)
     encoded = encoders.transform(spark.read.parquet(mart.inference(run_date)))
     write_parquet(encoded, mart.encoded("inference", run_date))
     predictions = Sc.score(model, spark.read.parquet(mart.encoded("inference", run_date)), columns)

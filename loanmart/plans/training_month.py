@@ -74,7 +74,10 @@ def train(
         search = M.random_search(kind, training, sizes, draws, folds, space, parallelism)
     finally:
         training.unpersist()
-    search.model.write().overwrite().save(mart.model(kind, run_date))
+    if kind == M.BOOSTED:
+        search.model.save(spark, mart.model(kind, run_date))
+    else:
+        search.model.write().overwrite().save(mart.model(kind, run_date))
     evaluation = Sc.evaluate(search.model, encoded, columns)
     path = mart.encoded("view", run_date)
     row = R.register_rows(

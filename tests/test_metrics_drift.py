@@ -106,11 +106,12 @@ def test_reports(spark):
     top = D.drift_correlation(dense, 2).collect()
     assert {r["feature"] for r in top} == {"a", "b"}
     assert D.drift_correlation(dense).where("feature = 'c'").first()["correlation"] is None
-    summary = D.report_summary(overall).first()
+    summary = D.report_summary(overall, 7).first()
+    assert summary["reference_rows"] == 7
     assert summary["recommendation"].startswith("Significant")
     assert [r["feature"] for r in D.high_drift_features(psi).collect()] == ["b", "a"]
     assert D.recent(psi, 1).select("date").distinct().collect()[0][0] == date(2024, 3, 1)
-    one = D.report_summary(D.overall_psi(D.recent(psi, 1))).first()
+    one = D.report_summary(D.overall_psi(D.recent(psi, 1)), 7).first()
     assert one["records"] == 1 and one["min_psi"] == one["max_psi"]
 
 
