@@ -42,6 +42,7 @@ AUDITED = 256
 RECALL = 0.99
 BLOCK = 256
 QUERY_ROWS = 16_384
+SCAN = 64  # a beam costs at least as much as a product with so many vectors for each place it has
 MARGIN = 1e-4  # more than single precision can err: nearer to the limit, cosines are checked in double
 
 
@@ -201,11 +202,11 @@ class Graph:
         """(query, node) pairs with at least the cosine.
 
         A beam that comes back full of hits is widened to the whole shard: shards are bounded, and one matrix product over
-        all of it costs less than the next wider beam.
+        all of it costs less than the next wider beam.  Small shards are looked at whole from the start, for the same reason.
         """
         n = len(self.x)
         for lo in range(0, len(q), BLOCK):
-            rows, whole = np.arange(lo, min(lo + BLOCK, len(q))), 2 * beam >= n
+            rows, whole = np.arange(lo, min(lo + BLOCK, len(q))), beam * SCAN >= n
             while len(rows):
                 part = q[rows].astype(np.float32)
                 if whole:
@@ -392,7 +393,7 @@ def audited_near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str
         recall = lowest_recall(want, np.array([got.get(uid, 0) for uid in truth]))
         if recall >= RECALL:
             break
-        if 2 * factor * BEAM >= held:
+        if factor * BEAM * SCAN >= held:
             raise RuntimeError(f"recall {recall} although every shard was looked at whole")
         factor *= 2
     asked = stored(_ask(vectors, shards, folder, factor, max(1, -(-n // QUERY_ROWS))), "asked")
