@@ -57,11 +57,12 @@ def distinct_keys(df: DataFrame, keys) -> DataFrame:
 
 
 def unmatched(left: DataFrame, right: DataFrame, keys) -> DataFrame:
-    """Rows of ``left`` whose key does not occur in ``right`` (NULL keys included)."""
+    """Rows of ``left`` whose key does not occur in ``right``; a NULL key equals none, so its rows stay.
+
+    ``left`` is read once, and only the columns asked for later; AQE may split any of its keys, NULL too.
+    """
     keys = list(keys)
-    left = as_table(left)
-    known = distinct_keys(right, keys)
-    return left.where(_all_present(keys)).join(known, keys, "left_anti").unionByName(left.where(_any_null(keys)))
+    return left.join(distinct_keys(right, keys), keys, "left_anti")
 
 
 def outer_join(left: DataFrame, right: DataFrame, keys, how: str = "outer") -> DataFrame:
