@@ -30,6 +30,27 @@ def io1(t: Marts) -> DataFrame:
     return raw.read_csv_typed(t.spark, path, S.LEDGER)
 
 
+def _losses(c: str, kind: str) -> list[str]:
+    """Texts of a raw column without a value of its type, and fractions an integer drops."""
+    number = f"try_cast({c} as double)"
+    bad = f"try_cast({c} as date) is null" if kind == "date" else f"({number} is null or isnan({number}))"
+    tests = {"unreadable": f"nullif({c}, '') is not null and {bad}"}
+    if kind == "int":
+        tests["truncated"] = f"{number} <> trunc({number})"
+    return [f"select '{c}' as \"column\", '{reason}' as reason, count(*) as n from fx_fin where {test}" for reason, test in tests.items()]
+
+
+@query(
+    "io1_rescued_values",
+    f"select * from ({' union all '.join(s for c, kind in S.FINANCIALS.items() if kind != 'string' for s in _losses(c, kind))}) where n > 0",
+)
+def io1_rescued(t: Marts) -> DataFrame:
+    """What typing the raw financials would lose, by column and reason."""
+    path = t.scratch()
+    sinks.write_csv(t.fx_fin.select(*S.FINANCIALS), path)
+    return raw.rescue_counts(raw.read_csv_rescued(t.spark, path, S.FINANCIALS))
+
+
 @query("io2_csv_text_scan", f"select {_text(S.FINANCIALS)} from fx_fin")
 def io2(t: Marts) -> DataFrame:
     path = t.scratch()
