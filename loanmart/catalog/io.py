@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import schemas as S
 from ..operators import cleaning as C
 from ..sources import raw, sinks, snapshots as Sn
+from ..sources.publish import AuditFailed, Limits, publish
 from .base import Marts, query, r
 
 
@@ -95,6 +96,23 @@ def io5(t: Marts) -> DataFrame:
     return Sn.read_snapshots(t.spark, path).select("customer_id", "age", "occupation", "snapshot_date")
 
 
+@query(
+    "io5_audited_publish",
+    f"select {_typed(S.LEDGER)}, 1 as refused from (select distinct * from fx_lms)",
+)
+def io5_audited(t: Marts) -> DataFrame:
+    """The ledger without copies is published; the ledger with NULL loans is then refused and changes nothing."""
+    path, rows = t.scratch(), C.dedup(t.fx_lms.select(*S.LEDGER))
+    limits = Limits(keys=("loan_id", "installment_num"), date="snapshot_date", least_rows=1)
+    publish(rows, path, limits)
+    try:
+        publish(rows.withColumn("loan_id", F.when(F.col("installment_num") > 1, F.col("loan_id"))), path, limits)
+        refused = False
+    except AuditFailed:
+        refused = True
+    return t.spark.read.parquet(path).withColumn("refused", F.lit(refused))
+
+
 @query(
     "io6_csv_sink",
     "select loan_id, customer_id, cast(loan_start_date as varchar) as loan_start_date, label, cast(snapshot_date as varchar) as snapshot_date from g_lbl",

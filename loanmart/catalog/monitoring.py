@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import dates as Dt
 from ..operators import drift as D, metrics as Me, registry as R
+from ..plans.drift_counts import DriftCounts
 from .base import Marts, query, r
 
 # the fixture months lie 27 years before the deployments of the product
@@ -189,6 +190,14 @@ def monthly_psi(t: Marts) -> DataFrame:
     return D.feature_psi(current, D.fit_reference(reference, _FEATURES), by=("date",))
 
 
+def _stored_counts(t: Marts) -> tuple[DataFrame, D.Reference]:
+    """Records of all months, written as the monthly job writes them and read back."""
+    rows, current = _parts(t)
+    store, reference = DriftCounts(t.scratch(), _SPLIT_DATE), D.fit_reference(rows, _FEATURES)
+    store.add(current.withColumn("stamp", F.lit("lineitem")), reference)
+    return store.stored(t.spark).drop("stamp", "model_date"), reference
+
+
 def dense_psi(t: Marts) -> DataFrame:
     return D.dense_feature_psi(monthly_psi(t), _FEATURES)
 
@@ -211,6 +220,31 @@ def mo8(t: Marts) -> DataFrame:
     return dense_psi(t)
 
 
+@query(
+    "mo8_psi_from_stored_counts",
+    f"""with {_MONTHLY} select cast(p.date as varchar) as date, feature, {r('psi')} as psi, {r('overall_psi')} as overall_psi
+ from psi p join overall o on p.date = o.date""",
+)
+def mo8_stored(t: Marts) -> DataFrame:
+    """The same from the records kept for each month."""
+    counted, reference = _stored_counts(t)
+    return D.dense_feature_psi(D.psi_of_counts(counted, reference, by=("date",)), _FEATURES)
+
+
+_QUARTERLY = psi_sql(_long(_FEATURES, "date_trunc('quarter', l_shipdate)"))
+
+
+@query(
+    "mo8_quarterly_psi",
+    f"with {_QUARTERLY} select cast(date as varchar) as date, feature, {r('psi')} as psi from psi",
+)
+def mo8_quarterly(t: Marts) -> DataFrame:
+    """PSI of quarters from the records of their months; no row is read again."""
+    counted, reference = _stored_counts(t)
+    quarters = counted.withColumn("date", F.trunc("date", "quarter"))
+    return D.psi_of_counts(D.merged_counts(quarters, ("date",)), reference, by=("date",))
+
+
 @query(
     "mo9_drift_status",
     f"with {_MONTHLY} select cast(date as varchar) as date, {r('overall_psi')} as overall_psi, {_STATUS.format('overall_psi')} as drift_status from overall",

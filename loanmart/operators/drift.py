@@ -104,9 +104,17 @@ def psi_value(actual: Column, expected: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda total, t: total + t)
 
 
-def feature_psi(current: DataFrame, reference: Reference, by=()) -> DataFrame:
-    """(by, feature, psi) for every feature both sides have."""
-    actual = bin_shares(bin_counts(current, reference.edges, by))
+def merged_counts(counted: DataFrame, by=(), buckets: int = BUCKETS) -> DataFrame:
+    """Counts of longer periods or fewer groups from those of their parts: sums of n and of every bin."""
+    sums = F.array(*[F.sum(F.get("counts", F.lit(i))) for i in range(buckets)])
+    return counted.groupBy(*by, "feature").agg(F.sum("n").alias("n"), sums.alias("counts"))
+
+
+def psi_of_counts(counted: DataFrame, reference: Reference, by=()) -> DataFrame:
+    """(by, feature, psi) from bin counts; a feature without values has none."""
+    if not reference.shares:
+        return counted.limit(0).select(*by, "feature", F.lit(0.0).alias("psi"))
+    actual = bin_shares(counted.where(F.col("n") > 0))
     expected = F.create_map(
         *[
             x
@@ -114,11 +122,16 @@ def feature_psi(current: DataFrame, reference: Reference, by=()) -> DataFrame:
             for x in (F.lit(f), F.array(*[F.lit(float(s)) for s in shares]))
         ]
     )
-    return actual.where(F.col("n") > 0).select(
+    return actual.select(
         *by, "feature", psi_value(F.col("shares"), F.try_element_at(expected, F.col("feature"))).alias("psi")
     )
 
 
+def feature_psi(current: DataFrame, reference: Reference, by=()) -> DataFrame:
+    """(by, feature, psi) for every feature both sides have."""
+    return psi_of_counts(bin_counts(current, reference.edges, by), reference, by)
+
+
 def drift_status(psi: Column) -> Column:
     return (
         F.when(psi < MODERATE_PSI, DRIFT_STATUS[0])

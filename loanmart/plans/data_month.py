@@ -8,6 +8,7 @@ from .. import schemas as S
 from ..operators import cleaning as C, features as Fe, labels as L, ledger as Lg, quality as Q
 from ..schemas import raw_struct
 from ..sources import raw, sinks, snapshots as Sn
+from ..sources.publish import Limits
 from ..functions.dates import is_first_of_month
 from .mart import RAW_TABLES, Mart
 
@@ -59,17 +60,17 @@ def ingest(spark: SparkSession, mart: Mart, files: dict[str, str], month: str |
     return rejected
 
 
-def clean(spark: SparkSession, mart: Mart, month: str | None = None) -> None:
+def clean(spark: SparkSession, mart: Mart, month: str | None = None, limits: dict[str, Limits] | None = None) -> None:
     """Clean the stored months.
 
-    A row carries its month, so removing copies within a month equals removing
+    With ``limits`` by table, a month that breaks them is not published (``AuditFailed``); this needs ``month``.  A row carries its month, so removing copies within a month equals removing
     them from the cumulative table and earlier months are never read again.
     """
     for table, cleaner in CLEANERS.items():
         df = Sn.read_snapshots(spark, mart.raw_snapshots(table), raw_schema(table))
         if month is not None:
             df = Sn.slice_month(df, month)
-        Sn.write_snapshots(cleaner(df), mart.clean(table), month)
+        Sn.write_snapshots(cleaner(df), mart.clean(table), month, audit=(limits or {}).get(table))
         _audit(spark, mart, table, df, month)
 
 

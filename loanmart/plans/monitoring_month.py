@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import drift as D, joins as J, metrics as Me, registry as R
@@ -11,6 +9,7 @@ from ..operators.splits import train_and_valid
 from ..sources.sinks import export_records, write_csv, write_parquet, write_records
 from ..sources.snapshots import exists
 from .data_month import gold
+from .drift_counts import DriftCounts
 from .mart import Mart
 from .training_month import load_encoders
 
@@ -70,25 +69,23 @@ def monitor_feature_drift(
 ) -> dict[str, DataFrame]:
     """PSI of each scored month against the training rows of the active model, and the report tables.
 
-    Before the first deployment all tables are empty.
+    Only months without valid counts are read; everything else comes from the stored counts and the stored
+    reference.  Before the first deployment all tables are empty.
     """
     active = R.model_on(run_date, deployments)
     if active is None:
         return _report(spark.createDataFrame([], "date date, feature string, psi double"), ["none"], 0)
-    reference_view = spark.read.parquet(mart.encoded("view", active.effective_date))
+    view = mart.encoded("view", active.effective_date)
+    reference_view = spark.read.parquet(view)
     features = load_encoders(spark, mart, active.effective_date).feature_columns(reference_view)
-    rows = train_and_valid(reference_view)
-    reference = D.fit_reference(rows, features)
-    # months were encoded by the model active at their time: columns may differ
-    months = [
-        spark.read.parquet(mart.encoded("inference", d)).withColumn("date", F.lit(d).cast("date"))
-        for d in run_dates
-    ]
-    current = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), months)
-    psi = D.feature_psi(current, reference, by=("date",))
+    store = DriftCounts(mart.monitoring("drift"), active.effective_date)
+    reference = store.reference(spark, view, train_and_valid(reference_view), features)
+    months = {d: mart.encoded("inference", d) for d in run_dates}
+    store.update(spark, months, reference)
+    psi = D.psi_of_counts(store.counts(spark, months, reference), reference.reference, by=("date",))
     write_parquet(psi, mart.monitoring(f"psi/run_date={run_date}"))
     psi = spark.read.parquet(mart.monitoring(f"psi/run_date={run_date}"))
-    return _report(psi, list(reference.edges), rows.count())
+    return _report(psi, list(reference.reference.edges), reference.rows)
 
 
 def _report(psi: DataFrame, features: list[str], reference_rows: int) -> dict[str, DataFrame]:

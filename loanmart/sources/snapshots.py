@@ -11,20 +11,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from .publish import Audit, publish
+
 PARTITION = "snapshot_date"
 
 
-def write_snapshots(df: DataFrame, path: str, month: str | None = None, partition: str = PARTITION) -> None:
+def write_snapshots(
+    df: DataFrame, path: str, month: str | None = None, partition: str = PARTITION, audit: Audit | None = None
+) -> None:
     """Replace the months present in ``df``; all others stay.
 
-    With ``month`` only that month's rows are written and its folder is replaced
-    as a whole, so a repeated run that finds no rows leaves none behind.
+    With ``month`` only that month's rows are written and its folder is published as a whole, so a
+    repeated run that finds no rows leaves none behind, and a lost one leaves those before.  ``audit``
+    looks at a month before it is published and needs ``month``.
     """
+    if audit is not None and month is None:
+        raise ValueError("an audit needs a month")
     if month is None:
         _partitioned(df, partition).parquet(path)
     else:
         rows = slice_month(df, month, partition).drop(partition)
-        rows.hint("rebalance").write.mode("overwrite").parquet(f"{path}/{partition}={month}")
+        publish(rows.hint("rebalance"), f"{path}/{partition}={month}", audit)
 
 
 def write_snapshots_csv(df: DataFrame, path: str, partition: str = PARTITION) -> None:
