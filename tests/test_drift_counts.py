@@ -1,10 +1,13 @@
 """PSI from stored counts: equal to that of the rows, and no month is read twice."""
 
 from datetime import date
+from types import SimpleNamespace
 
 import pytest
-from loanmart.operators import drift as D
+from loanmart.operators import drift as D, registry as R
+from loanmart.plans import monitoring_month as Mm
 from loanmart.plans.drift_counts import DriftCounts
+from loanmart.plans.mart import Mart
 from pyspark.sql import functions as F
 
 NAMES = ("x", "y")
@@ -95,3 +98,23 @@ def test_models_apart_and_columns_missing(spark, folder, months):
         found = psi(store.counts(spark, some, kept), kept.reference)
         assert set(found) == {(MONTHS[0], "x"), (MONTHS[1], "x"), (MONTHS[1], "y")}
     assert {r["model_date"] for r in spark.read.parquet(f"{folder}/drift/counts").select("model_date").distinct().collect()} == {date(2023, 1, 1), date(2024, 1, 1)}
+
+
+def test_the_monthly_job_reads_only_new_months(spark, folder, months, monkeypatch):
+    mart, run = Mart(f"{folder}/mart"), MONTHS[0]
+    view = frame(spark, 0, 900).withColumn("split", F.when(F.col("y") < 2, "test").when(F.col("y") < 4, "valid").otherwise("train"))
+    view.write.parquet(mart.encoded("view", run))
+    for d in MONTHS:
+        spark.read.parquet(months[d]).write.parquet(mart.encoded("inference", d))
+    monkeypatch.setattr(Mm, "load_encoders", lambda *_: SimpleNamespace(feature_columns=lambda df: list(NAMES)))
+    scanned = []
+    add = DriftCounts.add
+    monkeypatch.setattr(DriftCounts, "add", lambda self, rows, reference: (scanned.append(len(rows.inputFiles())), add(self, rows, reference))[1])
+    deployments = (R.Deployment(run, "lr_clf"),)
+    for n in (2, 3):
+        tables = Mm.monitor_feature_drift(spark, mart, MONTHS[n - 1], MONTHS[:n], deployments)
+        assert tables["overall"].count() == n
+    assert scanned == [sum(len(spark.read.parquet(mart.encoded("inference", d)).inputFiles()) for d in part) for part in (MONTHS[:2], MONTHS[2:])]
+    reference = D.fit_reference(view.where("split in ('train', 'valid')"), NAMES)
+    assert {(str(r["date"]), r["feature"]): r["psi"] for r in tables["psi"].collect()} == pytest.approx(of_rows(spark, months, reference))
+    assert tables["summary"].first()["reference_rows"] == view.where("y >= 2").count()

@@ -4,6 +4,8 @@ import os
 from datetime import date
 
 import pytest
+from loanmart.plans import data_month as Dm
+from loanmart.plans.mart import Mart
 from loanmart.sources import publish as P, snapshots as Sn
 from pyspark.sql import functions as F
 
@@ -85,3 +87,20 @@ def test_the_calendar_and_the_month_of_an_audit(spark, folder):
     assert not os.path.exists(f"{folder}/m")
     with pytest.raises(ValueError, match="needs a month"):
         Sn.write_snapshots(odd, f"{folder}/t", audit=P.Limits())
+
+
+def test_the_monthly_job_keeps_a_month_that_breaks_its_limits(spark, folder, monkeypatch):
+    mart, day = Mart(f"{folder}/mart"), "2024-01-01"
+    monkeypatch.setattr(Dm, "CLEANERS", {"clickstream": Dm.CLEANERS["clickstream"]})
+    raw = spark.createDataFrame([("a", day), (None, day)], "customer_id string, snapshot_date string")
+    for f in Dm.raw_schema("clickstream").fields:
+        if f.name not in raw.columns:
+            raw = raw.withColumn(f.name, F.lit("1"))
+    raw = raw.withColumn("snapshot_date", F.col("snapshot_date").cast("date"))
+    Sn.write_snapshots(raw, mart.raw_snapshots("clickstream"), day)
+    Dm.clean(spark, mart, day)
+    assert Dm.cleaned(spark, mart, "clickstream", day).count() == 2
+    Sn.write_snapshots(raw.where("customer_id is null"), mart.raw_snapshots("clickstream"), day)
+    with pytest.raises(P.AuditFailed, match="NULL in a key: 1 of 1"):
+        Dm.clean(spark, mart, day, limits={"clickstream": P.Limits(keys=("customer_id",))})
+    assert Dm.cleaned(spark, mart, "clickstream", day).count() == 2
