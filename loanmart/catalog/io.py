@@ -105,8 +105,9 @@ def io5_audited(t: Marts) -> DataFrame:
     path, rows = t.scratch(), C.dedup(t.fx_lms.select(*S.LEDGER))
     limits = Limits(keys=("loan_id", "installment_num"), date="snapshot_date", least_rows=1)
     publish(rows, path, limits)
+    published = t.spark.read.schema(rows.schema).parquet(path)
     try:
-        publish(rows.withColumn("loan_id", F.when(F.col("installment_num") > 1, F.col("loan_id"))), path, limits)
+        publish(published.withColumn("loan_id", F.when(F.col("installment_num") > 1, F.col("loan_id"))), path, limits)
         refused = False
     except AuditFailed:
         refused = True
