@@ -186,8 +186,9 @@ def _parts(t: Marts) -> tuple[DataFrame, DataFrame]:
 
 
 def monthly_psi(t: Marts) -> DataFrame:
+    """Written once: what is made of it reads its few rows several times."""
     reference, current = _parts(t)
-    return D.feature_psi(current, D.fit_reference(reference, _FEATURES), by=("date",))
+    return t.stored(D.feature_psi(current, D.fit_reference(reference, _FEATURES), by=("date",)), "psi")
 
 
 def _stored_counts(t: Marts) -> tuple[DataFrame, D.Reference]:

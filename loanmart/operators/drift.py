@@ -8,7 +8,6 @@ and counting is one partial aggregate of eleven counters per (period, feature).
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -47,8 +46,11 @@ class Reference:
 def bin_index(c: Column, edges: list[float]) -> Column:
     """0-based bin of a value: [e_i, e_i+1), the last one closed; -1 outside; NULL stays NULL."""
     x = c.cast("double")
-    at = reduce(lambda a, b: a + b, [(x >= F.lit(float(e))).cast("int") for e in edges[:-1]]) - 1
-    return F.when(x > F.lit(float(edges[-1])), -1).otherwise(at)
+    # a chain of short tests: generated methods beyond 8000 bytes are never compiled to machine code
+    at = F.when(x.isNull(), F.lit(None).cast("int"))
+    for i, e in enumerate(edges[:-1]):
+        at = at.when(x < F.lit(float(e)), i - 1)
+    return at.when(x > F.lit(float(edges[-1])), -1).otherwise(len(edges) - 2)
 
 
 def bin_counts(df: DataFrame, edges: dict[str, list[float]], by=()) -> DataFrame:
@@ -66,15 +68,16 @@ def bin_counts(df: DataFrame, edges: dict[str, list[float]], by=()) -> DataFrame
     long = binned.unpivot(list(by), features, "feature", "bin")
     b = F.col("bin")
     buckets = max(len(e) for e in edges.values()) - 1
-    return long.groupBy(*by, "feature").agg(
-        F.count(b).alias("n"),
-        F.array(*[F.count_if(b == i) for i in range(buckets)]).alias("counts"),
+    # one counter a value; the few sums of bins are turned into arrays afterwards
+    counted = long.groupBy(*by, "feature", "bin").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.groupBy(*by, "feature").agg(
+        F.coalesce(F.sum(F.when(b.isNotNull(), F.col("rows"))), F.lit(0)).alias("n"),
+        F.array(*[F.coalesce(F.sum(F.when(b == i, F.col("rows"))), F.lit(0)) for i in range(buckets)]).alias("counts"),
     )
 
 
 def _present_bin(c: Column, edges: list[float]) -> Column:
-    x = c.cast("double")
-    return bin_index(F.when(~F.isnan(x), x), edges)
+    return F.when(~F.isnan(c.cast("double")), bin_index(c, edges))
 
 
 def bin_shares(counted: DataFrame) -> DataFrame:
