@@ -99,7 +99,7 @@ def en2(t: Marts) -> DataFrame:
     f"select '{c}' as \"column\", {r(f'median(cast({c} as double))')} as median from g_train" for c in SPEC.fills
 ))
 def en3(t: Marts) -> DataFrame:
-    train = t.split_view.where("split = 'train'")
+    train = t.split_of(*SPEC.fills).where("split = 'train'")
     _, medians = E.fit_quantiles(train, E.EncoderSpec(caps=()))
     return params(t, list(medians.items()), "column string, median double")
 
@@ -159,10 +159,10 @@ def en8(t: Marts) -> DataFrame:
  (select f.* from g_feat f left join g_lbl l on f.customer_id = l.customer_id and f.snapshot_date = l.loan_start_date where l.loan_id is null), p""",
 )
 def en9(t: Marts) -> DataFrame:
-    features = t.stored(t.features, "features")
-    view = Sp.assign_splits(t.stored(J.labelled_features(features, t.gold_labels)), OOT_DATE, SPLIT_KEYS)
+    features, labels = t.stored(t.features, "features"), t.stored(t.gold_labels, "labels")
+    view = Sp.assign_splits(t.stored(J.labelled_features(features, labels)), OOT_DATE, SPLIT_KEYS)
     fitted = E.fit_encoders(view.where("split = 'train'"))
-    encoded = fitted.transform(J.unlabelled_features(features, t.gold_labels))
+    encoded = fitted.transform(J.unlabelled_features(features, labels))
     keep = ("customer_id", "loan_start_date")
     others = [c for c in encoded.columns if c not in {*S.ID_COLUMNS, *SPEC.fills}]
     return encoded.select(*keep, *_as_doubles(encoded), *[F.col(f"`{c}`") for c in others])
