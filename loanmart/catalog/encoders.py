@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import schemas as S
 from ..operators import encoders as E, joins as J, splits as Sp
 from .aggregates import params
-from .base import FLAG_NAMES, Marts, OOT_DATE, SPLIT_KEYS, query, r
+from .base import FLAG_NAMES, Marts, OOT_DATE, SPLIT_KEYS, query, r, with_split
 
 _ID = ("loan_id", "customer_id", "loan_start_date")
 _ID_SQL = "loan_id, customer_id, cast(loan_start_date as varchar) as loan_start_date"
@@ -160,7 +160,7 @@ def en8(t: Marts) -> DataFrame:
 )
 def en9(t: Marts) -> DataFrame:
     features, labels = t.stored(t.features, "features"), t.stored(t.gold_labels, "labels")
-    view = Sp.assign_splits(t.stored(J.labelled_features(features, labels)), OOT_DATE, SPLIT_KEYS)
+    view = with_split(t, J.labelled_features(features, labels))
     fitted = E.fit_encoders(view.where("split = 'train'"))
     encoded = fitted.transform(J.unlabelled_features(features, labels))
     keep = ("customer_id", "loan_start_date")

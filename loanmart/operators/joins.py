@@ -18,7 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scratch import stored
+from ..scratch import compiled_methods, stored
 
 
 def _all_present(keys) -> Column:
@@ -38,7 +38,10 @@ def is_scan(df: DataFrame) -> bool:
 
 
 def as_table(df: DataFrame) -> DataFrame:
-    return df if is_scan(df) else stored(df, "side")
+    if is_scan(df):
+        return df
+    with compiled_methods(df.sparkSession):
+        return stored(df, "side")
 
 
 def distinct_keys(df: DataFrame, keys) -> DataFrame:

@@ -24,6 +24,14 @@ def row_hash(keys, seed: int = S.SPLIT_SEED) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("bigint")
 
 
+ROW_HASH = "_row_hash"
+
+
+def with_row_hash(df: DataFrame, keys, seed: int = S.SPLIT_SEED) -> DataFrame:
+    """The hash as a column, for rows that are stored: later passes read it instead of computing it."""
+    return df.withColumn(ROW_HASH, row_hash(keys, seed))
+
+
 @dataclass(frozen=True)
 class ClassCut:
     label: object
@@ -44,6 +52,10 @@ class SplitPlan:
     label: str
     seed: int
     cuts: tuple[ClassCut, ...]
+    hashed: str | None = None  # column that holds the row hash
+
+    def row_hash(self) -> Column:
+        return F.col(self.hashed) if self.hashed else row_hash(self.keys, self.seed)
 
     def column(self) -> Column:
         """The split by one look-up of the class's cuts."""
@@ -52,7 +64,7 @@ class SplitPlan:
         cuts = F.create_map(
             *[x for c in self.cuts for x in (F.lit(c.label), F.struct(_hash(c.test_hash).alias("test"), _hash(c.valid_hash).alias("valid")))]
         )
-        h, cut = row_hash(self.keys, self.seed), F.try_element_at(cuts, F.col(self.label))
+        h, cut = self.row_hash(), F.try_element_at(cuts, F.col(self.label))
         return F.when(h <= cut["test"], "test").when(h <= cut["valid"], "valid").otherwise("train")
 
 
@@ -64,12 +76,15 @@ def fit_split(
     valid_share: float = S.VALID_SHARE,
     seed: int = S.SPLIT_SEED,
     max_classes: int | None = None,
+    hashed: str | None = None,
 ) -> SplitPlan:
     """Quotas are ceil(test_share * n) and ceil(valid_share * rest) per label value.
 
     Classes are parameters on the driver; with ``max_classes`` a column of more values is refused.
+    ``hashed`` names a column that holds the rows' hash (:func:`with_row_hash`).
     """
     keys = tuple(keys)
+    h = F.col(hashed) if hashed else row_hash(keys, seed)
     counted = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     sizes = (counted.limit(max_classes + 1) if max_classes else counted).collect()
     if max_classes and len(sizes) > max_classes:
@@ -82,7 +97,7 @@ def fit_split(
         name = str(row[label])
         quotas[name] = (row[label], n, n_test, n_valid)
         wanted = ([n_test - 1] if n_test else []) + ([n_test + n_valid - 1] if n_valid else [])
-        targets[name] = (F.when(F.col(label) == F.lit(row[label]), row_hash(keys, seed)), wanted)
+        targets[name] = (F.when(F.col(label) == F.lit(row[label]), h), wanted)
         counts[name] = n
     values = order_statistics(df, targets, counts)
     cuts = tuple(
@@ -96,7 +111,7 @@ def fit_split(
         )
         for name, (value, n, n_test, n_valid) in quotas.items()
     )
-    return SplitPlan(keys, label, seed, cuts)
+    return SplitPlan(keys, label, seed, cuts, hashed)
 
 
 def is_out_of_time(as_of, column: str = "label_snapshot_date") -> Column:

@@ -9,6 +9,8 @@ A written table cuts the lineage: an executor that is lost later costs no rework
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,24 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
+COMPILED_BYTES = "8000"  # longer methods the JVM interprets, however often they run
+
+
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside have no generated method too long to be compiled; Spark cuts such projections into short ones."""
+    before = spark.conf.get(HUGE_METHOD, None)
+    spark.conf.set(HUGE_METHOD, COMPILED_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(HUGE_METHOD)
+        else:
+            spark.conf.set(HUGE_METHOD, before)
+
+
 def clear(spark: SparkSession) -> bool:
     """Remove all this application wrote; frames read from it can't be used afterwards."""
     jvm = spark.sparkContext._jvm

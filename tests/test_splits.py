@@ -1,6 +1,9 @@
 import math
 
-from loanmart.operators import splits as Sp
+import pytest
+from loanmart.catalog.base import OOT_DATE, SPLIT_KEYS, Marts, with_split
+from loanmart.operators import joins as J, splits as Sp
+from loanmart.scratch import HUGE_METHOD, compiled_methods, stored
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -65,3 +68,35 @@ def test_rows_without_month_or_label_or_after_the_run_month_are_in_no_split(spar
     mixed = df.unionByName(undated).unionByName(unlabelled.where("label_snapshot_date < '2024-12-01'")).unionByName(later)
     got = Sp.assign_splits(mixed, "2024-12-01", ["loan_id"])
     assert rows(got, "loan_id", "split") == rows(Sp.assign_splits(df, "2024-12-01", ["loan_id"]), "loan_id", "split")
+
+
+def test_split_by_a_stored_hash_is_the_same_and_is_not_computed_again(spark):
+    df = frame(spark)
+    hashed = stored(Sp.with_row_hash(df, ["loan_id"]))
+    split = Sp.assign_splits(hashed, "2024-12-01", ["loan_id"], hashed=Sp.ROW_HASH).drop(Sp.ROW_HASH)
+    assert split.columns == [*df.columns, "split"]
+    assert rows(split) == rows(Sp.assign_splits(df, "2024-12-01", ["loan_id"]))
+    assert "md5" not in split._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_labelled_rows_are_written_with_their_hash(spark, folder):
+    df = frame(spark, 500).withColumn("customer_id", F.lit("C")).withColumn("loan_start_date", F.lit("2000-01-01").cast("date"))
+    df = df.withColumn("label_snapshot_date", F.lit("2000-03-01").cast("date"))
+    split = with_split(Marts(spark, folder), df)
+    assert "md5" not in split._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(split) == rows(Sp.assign_splits(df, OOT_DATE, SPLIT_KEYS))
+
+
+def test_short_methods_only_while_tables_are_written(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(J, "stored", lambda df, name: seen.append(spark.conf.get(HUGE_METHOD)) or df)
+    before = spark.conf.get(HUGE_METHOD)
+    J.as_table(spark.range(3).distinct())
+    assert seen == ["8000"] and spark.conf.get(HUGE_METHOD) == before
+    spark.conf.set(HUGE_METHOD, "9000")
+    try:
+        with pytest.raises(ValueError), compiled_methods(spark):
+            raise ValueError
+        assert spark.conf.get(HUGE_METHOD) == "9000"
+    finally:
+        spark.conf.unset(HUGE_METHOD)
