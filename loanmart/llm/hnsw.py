@@ -1,6 +1,7 @@
 """Embedding near-dedup by navigable small-world graphs, one per shard.
 
-Equal vectors collapse to one first.  The rest is dealt over shards by hash; each shard builds a
+Equal vectors collapse to one first.  The rest is dealt over shards by hash, no more of them than hold it, as
+every vector asks every shard and a beam costs little more in a large one; each shard builds a
 hierarchical navigable small-world graph, and every vector queries every shard.  A beam that
 comes back full of hits is widened and run again, so a query finds all its links, not the best
 few; how wide beams start is settled by audits, which compare sampled queries with all
@@ -32,7 +33,6 @@ from .common import open_store, qualified
 from .graph import components
 
 COSINE = 0.9
-LEAST_SHARDS = 8
 SHARD_ROWS = 50_000
 SHARD_BYTES = 128 << 20  # of vectors in double precision
 LINKS = 12
@@ -377,7 +377,7 @@ def audited_near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str
     vectors = stored(vectors.withColumn("uid", F.monotonically_increasing_id()), "vectors")
     n, longest = vectors.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     held = shard_rows(longest or 1)
-    shards = max(LEAST_SHARDS, -(-n // held))
+    shards = max(1, -(-n // held))
     shard = F.size("vector") * shards + F.pmod(F.xxhash64("uid"), F.lit(shards))
     folder = new_path(spark, "graphs")
     built = vectors.select("uid", "vector", "copies", shard.cast("int").alias("shard")).groupBy("shard")

@@ -109,3 +109,17 @@ def test_empty(spark):
     assert hnsw.near_vectors(spark.createDataFrame([], KIND)).count() == 0
     only = hnsw.near_vectors(spark.createDataFrame([(1, None, None, None)], KIND)).collect()
     assert [tuple(r) for r in only] == [(1, 0, 1, True)]
+
+
+def test_few_vectors_ask_one_shard(spark, monkeypatch):
+    asked, ask = [], hnsw._ask
+
+    def counted(vectors, shards, *rest):
+        asked.append(shards)
+        return ask(vectors, shards, *rest)
+
+    monkeypatch.setattr(hnsw, "_ask", counted)
+    rows = corpus()
+    frame = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], KIND)
+    assert hnsw.near_vectors(frame).count() == len(rows)
+    assert set(asked) == {1}
