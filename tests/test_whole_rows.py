@@ -2,12 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F, types as T
 
 from loanmart.catalog import modelling
 from loanmart.catalog.base import Marts
-from loanmart.operators import boosting as B, order_stats as O
+from loanmart.operators import boosting as B, models as M, order_stats as O
 from loanmart.scratch import stored
 
 
@@ -89,9 +90,8 @@ def test_no_rows_and_rows_of_one_class(spark):
 
 def test_more_rows_than_a_sample_held_are_all_counted(spark):
     n = B.SEARCH_ROWS + 300
-    values = spark.range(n).select((F.col("id") % 3 == 0).cast("int").alias("label"), F.lit(0).alias("fold"), (F.col("id") % 2).cast("double").alias("x"))
-    assemble = F.udf(lambda v: Vectors.dense([v]), VectorUDT())
-    data = B.binned(stored(values.withColumn("features", assemble("x"))))
+    values = spark.range(n).select((F.col("id") % 3 == 0).cast("int").alias("label"), F.lit(0).alias("fold"), F.array((F.col("id") % 2).cast("double")).alias("x"))
+    data = B.binned(stored(values.withColumn("features", array_to_vector("x"))))
     assert data.rows.count() == n
     trees = B.fit_rows(data, B.Setting(n_estimators=1, max_depth=1, learning_rate=1.0, reg_lambda=0.0)).trees
     ids = np.arange(n)
@@ -111,3 +111,51 @@ def test_scoring_trains_on_all_labelled_rows(spark, data, monkeypatch):
     t = Marts(spark, data)
     modelling.trained_predictions(t)
     assert seen == [t.split_view.where("split in ('train', 'valid')").count()]
+
+
+@pytest.mark.parametrize("s", [
+    B.Setting(n_estimators=6, max_depth=3, learning_rate=0.3),
+    B.Setting(n_estimators=4, max_depth=12, learning_rate=0.2, gamma=1.0, reg_alpha=0.3, reg_lambda=0.1, min_child_weight=3, weight_factor=2.0),
+])
+def test_trees_of_the_jvm_are_those_of_numpy(spark, s):
+    x, y, fold = table(4000, 11)
+    data = B.Binned.of(x, y, fold)
+    got = B.fit(spark, data, s).trees
+    trees, margin = B.boost(data, np.ones(len(y), dtype=bool), s)
+    assert len(got.feature) == sum(len(t[0]) for t in trees)
+    assert np.allclose(got.margin(x), margin, atol=1e-9)
+    scores, _ = B.search(spark, data, [s], 3, refit=False)
+    want = []
+    for f in range(3):
+        _, margin = B.boost(data, fold != f, s)
+        said, there = margin[fold == f] > 0, y[fold == f] == 1
+        want.append(2 * (said & there).sum() / (said.sum() + there.sum()))
+    assert scores == [pytest.approx(np.mean(want))]
+
+
+def test_drawn_rows_and_columns_of_the_jvm(spark):
+    x, y, fold = table(4000, 12)
+    data = B.Binned.of(x, y, fold)
+    whole, drawn = (B.Setting(n_estimators=20, max_depth=4, learning_rate=0.2, subsample=p, colsample=q) for p, q in ((1.0, 1.0), (0.6, 0.6)))
+    (all_of, some), _ = B.search(spark, data, [whole, drawn], 3, refit=False)
+    assert some != all_of and abs(some - all_of) < 0.05
+    one = B.fit(spark, data, B.Setting(n_estimators=30, max_depth=2, colsample=0.2)).trees
+    assert set(one.feature.tolist()) == {-1, 0, 1, 3, 4}
+    assert all(len({f for f in one.feature[a:b].tolist() if f >= 0}) <= 1 for a, b in zip(one.start, [*one.start[1:], len(one.feature)]))
+
+
+def test_search_of_no_rows_or_one_class(spark):
+    s = B.Setting(n_estimators=2, max_depth=2)
+    none, one = B.Binned.of(np.zeros((0, 0)), np.zeros(0), np.zeros(0)), B.Binned.of(np.ones((4, 1)), np.ones(4), np.arange(4) % 2)
+    assert B.search(spark, none, [s], 2)[0] == [0.0]
+    assert B.search(spark, one, [s], 2)[0] == [0.0]
+
+
+def test_a_search_takes_all_rows(spark, monkeypatch):
+    n, seen = B.SEARCH_ROWS + 300, []
+    values = spark.range(n).select((F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") % 2).cast("int").alias("fold"), F.array((F.col("id") % 7).cast("double")).alias("x"))
+    training = stored(values.withColumn("features", array_to_vector("x")))
+    search = B.search
+    monkeypatch.setattr(B, "search", lambda spark, data, *rest: seen.append(len(data.label)) or search(spark, data, *rest))
+    found = M.random_search(M.BOOSTED, training, M.ClassSizes(n - n // 3 - 1, n // 3 + 1), draws=2, folds=2, space={"n_estimators": [2, 3], "max_depth": [2]})
+    assert seen == [n] and len(found.scores) == 2
